@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, minhash, packing, quality, toxicity
+from . import linededup, media, minhash, mixing, packing, quality, toxicity
 from .common import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,11 +42,11 @@ ORACLES: dict[str, str] = {
     "op1_minhash": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) END) AS s
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s
   FROM words),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 links AS (
@@ -58,3 +59,20 @@ SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, c.m AS componen
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) c ON c.a = d.doc_id
 """,
 }
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_mixing"] = op10_mixing
+ORACLES["op10_mixing"] = mixing.sql()
+
+
+def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(read_table(spark, sf_dir, "documents"), counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+
+
+QUERIES["op2_linededup"] = op2_linededup
+ORACLES["op2_linededup"] = linededup.SQL
