@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, media, minhash, mixing, packing, quality, toxicity
+from . import linededup, media, minhash, mixing, packing, quality, spandedup, suffixdedup, toxicity
 from .common import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,3 +76,18 @@ def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op2_linededup"] = op2_linededup
 ORACLES["op2_linededup"] = linededup.SQL
+
+
+def op3_spandedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spandedup.span_digest(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_spandedup"] = op3_spandedup
+
+
+def op6_suffixarray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.suffix_dedup_digest(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_suffixarray"] = op6_suffixarray
+ORACLES["op6_suffixarray"] = suffixdedup.SQL
