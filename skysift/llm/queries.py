@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, media, minhash, mixing, packing, quality, spandedup, suffixdedup, toxicity
+from . import linededup, media, minhash, mixing, packing, pii, quality, spandedup, suffixdedup, toxicity
 from .common import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -91,3 +91,10 @@ def op6_suffixarray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op6_suffixarray"] = op6_suffixarray
 ORACLES["op6_suffixarray"] = suffixdedup.SQL
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
+QUERIES["op5_pii"] = op5_pii
