@@ -45,3 +45,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Written tables of at most this many rows may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast a written table of at most BROADCAST_ROWS rows; else leave the join to a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -21,13 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_group_min
+from .common import checked_broadcast, materialize, with_group_min
 
 BUCKETS = 1 << 13
 #: A token bucket with more than this share of all tokens is paired.
 HOT_SHARE = 1 / 2000
-#: Lists of lines by document are broadcast up to this many rows, else joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def _tokens(line: Column) -> Column:
@@ -95,16 +93,11 @@ def _possible(a: str, b: str) -> Column:
     return fits & ((F.col(f"{a}.pos") < 0) | (F.col(f"{b}.pos") < 0) | (room >= _overlap_needed(na, nb)))
 
 
-def _checked_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a written table of at most BROADCAST_ROWS rows; else leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _verified(docs: DataFrame, pairs: DataFrame, levels: Column) -> DataFrame:
     """Of pairs(id, other), those whose full sets reach the threshold."""
     need = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
     by_doc = materialize(need.groupBy("id.doc_id").agg(F.collect_set("id.line_no").alias("want")), "need")
-    found = docs.join(_checked_broadcast(by_doc), "doc_id").select("doc_id", "want", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).filter(F.array_contains("want", F.col("line_no")))
+    found = docs.join(checked_broadcast(by_doc), "doc_id").select("doc_id", "want", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).filter(F.array_contains("want", F.col("line_no")))
     sets = found.select(F.struct("doc_id", "line_no").alias("id"), F.transform(_tokens(F.col("line")), _hash).alias("set")).dropDuplicates(["id"])
     sets = materialize(sets, "sets")
     both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("set").alias("oset")), "other")
@@ -154,7 +147,7 @@ def dedup_lines(docs: DataFrame, text_out: str = "text", counts: bool = False) -
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     gone = removed_lines(plain).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
     gone = materialize(gone, "gone")
-    rows = docs.join(_checked_broadcast(gone), docs["doc_id"].cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
+    rows = docs.join(checked_broadcast(gone), docs["doc_id"].cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
     parts = F.split(F.col("text").cast("string"), "\n", -1)
     kept = F.filter(parts, lambda x, i: ~F.array_contains("_gone", i))
     new = {text_out: F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))}

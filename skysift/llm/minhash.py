@@ -23,14 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import materialize, salt_of, shuffle_parts, with_group_min
+from .common import checked_broadcast, materialize, salt_of, shuffle_parts, with_group_min
 from .components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 26, 5
-HASHES = BANDS * ROWS
-#: A pair at the threshold passes with at most this shortfall of its estimate: about four standard deviations.
-SLACK = 0.125
+#: Minima kept for the estimate of a pair's similarity; the first BANDS * ROWS also make the bands.
+HASHES = 320
+#: A pair at the threshold passes with at most this shortfall of its estimate: four standard deviations.
+SLACK = 0.08
 BLOCK = 256
 #: Members that share one copy of a pivot's text when links are confirmed.
 MEMBERS = 64
@@ -88,10 +89,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts = np.concatenate([[0], np.cumsum(n[full])[:-1]])
                 low = minima(values, starts)
                 keys = np.zeros((BANDS, len(full)), np.uint64)
+                low >>= np.uint64(48)
                 for b in range(BANDS):
                     for r in range(ROWS):
                         keys[b] = tk.mix(keys[b] + low[b * ROWS + r] + np.uint64(b + 1))
-                short = (low >> np.uint64(48)).astype("<u2").T.copy()
+                short = low.astype("<u2").T.copy()
                 for j, i in enumerate(full):
                     bands[i], sigs[i] = keys[:, j].view(np.int64), short[j].tobytes()
                 fp[0, full] = np.add.reduceat(tk.mix(values), starts)
@@ -146,25 +148,30 @@ def confirm_links(docs: DataFrame, pairs: DataFrame, pct: int) -> DataFrame:
     roles = dealt.select("doc_id", "pivot", "part", F.lit(1).alias("member")).unionByName(
         dealt.select(F.col("pivot").alias("doc_id"), "pivot", "part", F.lit(0).alias("member")).distinct()
     )
-    rows = docs.join(roles, "doc_id").select("pivot", "part", "member", "doc_id", "text")
+    rows = docs.join(checked_broadcast(materialize(roles, "roles")), "doc_id").select("pivot", "part", "member", "doc_id", "text")
     rows = rows.repartition(shuffle_parts(spark), "pivot", "part").sortWithinPartitions("pivot", "part", "member")
     return rows.mapInArrow(_confirm(pct), "a long, b long")
 
 
 def _block_pairs(floor: float):
-    """One group is a pair of blocks of a bucket: cross-component pairs whose signatures agree."""
+    """One group is a pair of blocks of a bucket: cross-component pairs whose signatures agree.
+
+    A pair that an earlier band brings together as well is left to that band's bucket, so it comes once."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_numpy()
         comp = table.column("comp").to_numpy()
         side = table.column("side").to_numpy()
+        nth = table.column("nth")[0].as_py()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         out_a, out_b = [], []
         for i in left:
             ok = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (side[i] == 0))]
             if len(ok):
-                ok = ok[(sig[ok] == sig[i]).mean(axis=1) >= floor]
+                same = sig[ok] == sig[i]
+                before = same[:, : nth * ROWS].reshape(len(ok), nth, ROWS).all(axis=2).any(axis=1)
+                ok = ok[(same.mean(axis=1) >= floor) & ~before]
                 out_a += [ids[i]] * len(ok)
                 out_b += ids[ok].tolist()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
@@ -186,7 +193,7 @@ def minhash_components(docs: DataFrame, threshold_pct: int = 85) -> DataFrame:
     reps = classes.filter("doc_id = rep").select("doc_id").distinct()
     own = materialize(full.join(reps, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "bands", "sig"), "reps")
 
-    flat = own.select("doc_id", F.explode("bands").alias("band"))
+    flat = own.select("doc_id", F.posexplode("bands").alias("nth", "band"))
     sizes = flat.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     members = materialize(flat.join(sizes, "band"), "members")
     popularity = members.groupBy("doc_id").agg(F.sum("size").alias("shares"))
@@ -203,14 +210,14 @@ def minhash_components(docs: DataFrame, threshold_pct: int = 85) -> DataFrame:
     labels = connected_components(links)
 
     # What one pivot a bucket cannot settle: buckets that still hold several components.
-    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "size", F.coalesce("component", "doc_id").alias("comp"))
+    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "nth", "doc_id", "size", F.coalesce("component", "doc_id").alias("comp"))
     mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
     rest = labelled.join(mixed, "band").join(sig, "doc_id")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rest = rest.withColumn("n", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     rest = rest.select(
-        "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id", "comp", "sig",
+        "band", "nth", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id", "comp", "sig",
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
     )
     more = rest.groupBy("band", "i", "j").applyInArrow(_block_pairs(floor), "a long, b long")
