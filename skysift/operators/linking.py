@@ -103,36 +103,46 @@ def has_times(p: Points) -> bool:
     return bool(len(p)) and bool(np.all(p.ts[first] != -1))
 
 
-def timed_chain(p: Points, by_frame: list[np.ndarray], a: int, b: int, config: DetectionConfig) -> list[int]:
-    """Extend the baseline a-b frame by frame with the point of least velocity error among those that pass all gates."""
-    cone = math.radians(config.angle_tolerance_degrees)
-    chain, last = [a, b], b
-    speed, heading = float(_dist(p, a, b)) / float(p.ts[b] - p.ts[a]), float(_bearing(p, a, b))
-    for later in by_frame[p.pos[b] + 1 :]:
-        if not len(later):
-            continue
-        dt = (p.ts[later] - p.ts[last]).astype(float)
-        c, dt = later[dt > 0], dt[dt > 0]
-        if not len(c):
-            continue
-        d = _dist(p, last, c)
-        off = np.abs(d / dt - speed)
-        ok = _within_exposure(p, last, c, dt, d, config) & (off <= speed * config.time_based_velocity_tolerance + config.max_star_jitter / dt)
-        ok &= line_error(p.x[a], p.y[a], p.x[last], p.y[last], p.x[c], p.y[c]) <= config.prediction_tolerance
-        ok &= turn(heading, _bearing(p, last, c)) <= np.maximum(cone, np.arctan2(config.max_star_jitter + 1, d))
-        ok &= similar_profiles(p, last, c, config)
-        if ok.any():
-            last = int(c[ok][np.argmin(off[ok])])
-            chain.append(last)
-            speed, heading = float(_dist(p, a, last)) / float(p.ts[last] - p.ts[a]), float(_bearing(p, a, last))
-    return chain
-
-
 def frames_of(p: Points, count: int) -> list[np.ndarray]:
     cuts = np.searchsorted(p.pos, np.arange(count + 1))
     return [np.arange(cuts[k], cuts[k + 1]) for k in range(count)]
 
 
+#: Elements of the tables of (second points x candidates) that one step works on.
+CELLS = 1 << 20
+
+
+def timed_chains(p: Points, by_frame: list[np.ndarray], a: int, second: np.ndarray, config: DetectionConfig) -> list[list[int]]:
+    """One chain from each baseline a-b, b in ``second``, all extended together frame by frame: each takes the point of
+    least velocity error among those that pass all gates, then re-anchors speed and heading at a."""
+    cone = math.radians(config.angle_tolerance_degrees)
+    last = second.copy()
+    speed, heading = _dist(p, a, last) / (p.ts[last] - p.ts[a]), _bearing(p, a, last)
+    taken = np.full((len(second), len(by_frame)), -1)
+    for f, c in enumerate(by_frame):
+        row = np.flatnonzero(p.pos[second] < f)
+        if not len(c) or not len(row):
+            continue
+        i, j = last[row][:, None], c[None, :]
+        dt = (p.ts[j] - p.ts[i]).astype(float)
+        ok = dt > 0
+        dt = np.where(ok, dt, 1.0)
+        d = _dist(p, i, j)
+        off = np.abs(d / dt - speed[row][:, None])
+        ok &= _within_exposure(p, i, j, dt, d, config) & (off <= speed[row][:, None] * config.time_based_velocity_tolerance + config.max_star_jitter / dt)
+        base = _dist(p, a, i)
+        area = np.abs((p.x[i] - p.x[a]) * (p.y[a] - p.y[j]) - (p.x[a] - p.x[j]) * (p.y[i] - p.y[a]))
+        ok &= (base > 0) & (area <= config.prediction_tolerance * np.where(base > 0, base, 1.0))
+        ok &= turn(heading[row][:, None], _bearing(p, i, j)) <= np.maximum(cone, np.arctan2(config.max_star_jitter + 1, d))
+        ok &= similar_profiles(p, i, j, config)
+        pick = np.argmin(np.where(ok, off, np.inf), axis=1)
+        hit = ok[np.arange(len(row)), pick]
+        row, new = row[hit], c[pick[hit]]
+        taken[row, f] = last[row] = new
+        speed[row], heading[row] = _dist(p, a, new) / (p.ts[new] - p.ts[a]), _bearing(p, a, new)
+    return [[a, int(b), *t[t >= 0].tolist()] for b, t in zip(second, taken, strict=True)]
+
+
 def timed_candidates(p: Points, a: int, frames: int, config: DetectionConfig) -> list[tuple[list[int], float]]:
     """Every chain that starts at point ``a``, with its score, in the order of its second point."""
     by_frame, need = frames_of(p, frames), min_points(frames, config)
@@ -142,7 +152,9 @@ def timed_candidates(p: Points, a: int, frames: int, config: DetectionConfig) ->
     dt = p.ts[second] - p.ts[a]
     d = _dist(p, a, second)
     ok = (dt > 0) & (d >= config.max_star_jitter) & similar_profiles(p, a, second, config) & _within_exposure(p, a, second, dt, d, config)
-    chains = [timed_chain(p, by_frame, a, int(b), config) for b in second[ok]]
+    second = second[ok]
+    step = max(1, CELLS // max(1, max(map(len, by_frame), default=1)))
+    chains = [c for k in range(0, len(second), step) for c in timed_chains(p, by_frame, a, second[k : k + step], config)]
     return [(c, track_score(p, c)) for c in chains if len(c) >= need]
 
 

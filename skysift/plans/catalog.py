@@ -239,18 +239,18 @@ def extraction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shape_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dumbbell and irregular-streak tests of every blob (kernels on footprints)."""
     import numpy as np
-    import pandas as pd
-
-    @F.pandas_udf("struct<dumbbell:boolean,irregular:boolean>")
-    def shapes(foot: pd.Series, x: pd.Series, y: pd.Series, angle: pd.Series) -> pd.DataFrame:
-        rows = []
-        for f, cx, cy, a in zip(foot, x, y, angle, strict=True):
-            s = sources.Source(0, cx, cy, 0, 0, 0, float(len(f)), 0, 0, a, True, *(np.array([p[k] for p in f], float) for k in "xyv"))
-            rows.append((sources.is_binary_star_like(s), sources.is_irregular_streak(s)))
-        return pd.DataFrame(rows, columns=["dumbbell", "irregular"])
-
-    s = _found(spark, sf_dir).withColumn("t", shapes("footprint", "x", "y", "angle"))
-    return s.select(F.col("seq_index").alias("frame"), "obj_ord", "t.dumbbell", "t.irregular")
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for foot, x, y, angle in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                s = sources.Source(0, x, y, 0, 0, 0, float(len(foot)), 0, 0, angle, True, *(np.array([p[k] for p in foot], float) for k in "xyv"))
+                rows.append((sources.is_binary_star_like(s), sources.is_irregular_streak(s)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.bool_())], names=["frame", "obj_ord", "dumbbell", "irregular"])
+
+    s = _found(spark, sf_dir).select(F.col("seq_index").alias("frame"), "obj_ord", "footprint", "x", "y", "angle")
+    return s.mapInArrow(run, "frame int, obj_ord int, dumbbell boolean, irregular boolean")
 
 
 # Quality.
