@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import materialize
 
@@ -56,7 +57,7 @@ KINDS = [
     ("card", re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"), None),
     ("ip", re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"), None),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), "-"),
-    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?![\w-])"), None),
+    ("phone", re.compile(r"(?<![\w+])(?<!\d[ .-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?![\w-])(?![ .]\d)"), None),
     ("name", re.compile(rf"(?<!\w)(?:{_TITLE}|{_INTRO})\s+({_NAME}(?: {_NAME})?)"), None),
 ]
 _ANY_DIGIT = re.compile(r"\d")
@@ -258,7 +259,7 @@ def replace_pii(docs: DataFrame, counts: bool = False) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["value"]): r["attempt"] for r in odd})
     docs = docs.withColumn("text", F.col("text").cast("string"))
     place = docs.columns.index("text")
-    schema = docs.schema
+    schema = StructType(list(docs.schema.fields))
     if counts:
         schema = schema.add("n_entities", "long").add("kinds", "string")
 

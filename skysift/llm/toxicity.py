@@ -31,6 +31,8 @@ WORD_BITS, CHAR_BITS = 18, 17
 #: The sample that the model is fitted on.
 MAX_POSITIVE, MAX_NEGATIVE, MAX_WORDS = 1200, 4800, 350
 EPOCHS = 7
+#: Small samples are gone through more often, to this many steps.
+MIN_STEPS = 300
 EMPTY_SCORE = 0.0
 THRESHOLD = 0.7
 SEED = 11
@@ -220,6 +222,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED)
     pos = float(y.mean())
     weight = np.where(y > 0.5, min(1.0, 0.25 / pos), 1.0).astype(np.float32)
     per = 64
+    epochs = max(epochs, -(-MIN_STEPS * per // len(texts)))
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         rate = 0.01 * (1 - 0.9 * epoch / epochs)
