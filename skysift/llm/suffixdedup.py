@@ -30,11 +30,9 @@ from .common import materialize, shuffle_parts, with_group_min
 
 SPAN, GRAM = 100, 24
 REACH = SPAN - GRAM + 1
-HOT = 1000
+HOT = 20_000
 #: Bytes of fragments sorted at once, about.
 BLOCK = 1 << 18
-#: Items of lists that may be broadcast.
-BROADCAST_ITEMS = 2_000_000
 
 
 def minimizers(h: np.ndarray) -> np.ndarray:
@@ -259,12 +257,6 @@ def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held)
 
 
-def _by_doc(docs: DataFrame, lists: DataFrame, items: str, how: str = "inner") -> DataFrame:
-    """Join documents with a written table of one list a document: broadcast while its items are few, else by a shuffle."""
-    total = lists.agg(F.sum(F.size(items))).first()[0] or 0
-    return docs.join(F.broadcast(lists) if total <= BROADCAST_ITEMS else lists, "doc_id", how)
-
-
 def removed_windows(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text), no two texts equal -> (doc_id, lo, hi): runs of windows that start earlier elsewhere."""
     spark = docs.sparkSession
@@ -291,7 +283,7 @@ def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of fragments (k, first, n), read from their documents."""
     want = wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("k", F.col("first.lo").alias("lo"), "n")).alias("want"))
     want = materialize(want, "want")
-    return _by_doc(docs, want, "want").select("doc_id", "text", "want").mapInArrow(_cut_texts, "k long, doc_id long, lo int, n int, body binary")
+    return docs.join(want, "doc_id").select("doc_id", "text", "want").mapInArrow(_cut_texts, "k long, doc_id long, lo int, n int, body binary")
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -342,10 +334,10 @@ def _decided(docs: DataFrame) -> DataFrame:
     keys = named.select("doc_id", F.unhex(F.md5("text")).alias("m"), F.octet_length("text").alias("size"))
     later = with_group_min(keys, ["m", "size"], "doc_id", "lead", by="doc_id").filter("doc_id <> lead")
     later = materialize(later.groupBy("doc_id").agg(F.collect_set("lead").alias("leads")), "copies")
-    flagged = _by_doc(plain, later, "leads", "left").select("doc_id", "text", F.col("leads").isNotNull().alias("_copy"))
+    flagged = plain.join(later, "doc_id", "left").select("doc_id", "text", F.col("leads").isNotNull().alias("_copy"))
     runs = removed_windows(flagged.filter("doc_id is not null and not _copy").select("doc_id", "text"))
     runs = materialize(runs.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("_runs")), "runs")
-    return _by_doc(flagged, runs, "_runs", "left").select("doc_id", "text", "_copy", "_runs")
+    return flagged.join(runs, "doc_id", "left").select("doc_id", "text", "_copy", "_runs")
 
 
 def suffix_dedup_digest(docs: DataFrame) -> DataFrame:
