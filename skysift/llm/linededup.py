@@ -8,8 +8,8 @@ document that loses all lines keeps an empty text and its row. Rows repeated wit
 repeated: within equal ids the order is that of line numbers, and all such rows lose the lines that any of them loses.
 Null ids come through unchanged. An empty table gives an empty result. Extra columns pass through.
 
-Method. Tokens are ordered by rarity: by a class of their count in 8,192 hashed buckets, counted over all lines, then by
-hash. Lines of equal sets are one class, kept by its first line. A class puts its first n - ceil(0.8 n) + 1 tokens (its
+Method. Tokens are ordered by rarity: by a class of their count in 8,192 hashed buckets, counted over all texts,
+then by length (longer words are rarer), then by hash. Lines of equal sets are one class, kept by its first line. A class puts its first n - ceil(0.8 n) + 1 tokens (its
 prefix) into an index; a token of a very frequent class is paired with each other token of the prefix that is one longer,
 in which similar sets share two. Index rows meet first with one row a key, the earliest; classes that this resolves stop
 looking, the others meet all earlier rows of their keys, so large groups of variants do not make all pairs. Length and
@@ -44,26 +44,51 @@ def _hash(w: Column) -> Column:
 
 
 def _class_table(docs: DataFrame) -> Column:
-    """A binary literal of BUCKETS bytes: each bucket's rarity class (the logarithm of its count), 63 when hot."""
-    counts = _lines(docs).select(F.explode("tok").alias("w")).groupBy(F.pmod(_hash(F.col("w")), F.lit(BUCKETS)).cast("int").alias("b")).count().collect()
+    """A constant array of BUCKETS numbers: 0 for buckets of ordinary size, then the logarithm of how far a bucket's count
+    exceeds the mean, 63 when hot. Every token of every text is counted."""
+    flat = F.translate(F.lower("text"), "\n\t\r\x0b\x0c", "     ")
+    words = docs.select(F.explode(F.split(flat, " ")).alias("w")).filter("w <> ''")
+    counts = words.groupBy(F.pmod(_hash(F.col("w")), F.lit(BUCKETS)).cast("int").alias("b")).count().collect()
     total = sum(r["count"] for r in counts)
-    levels = bytearray(BUCKETS)
+    levels = [0] * BUCKETS
     for r in counts:  # BUCKETS rows at most
-        levels[r["b"]] = 63 if r["count"] > total * HOT_SHARE else min(40, (r["count"] + 1).bit_length())
-    return F.lit(bytes(levels))
+        levels[r["b"]] = 63 if r["count"] > max(total * HOT_SHARE, 64) else min(40, (2 * r["count"] * BUCKETS // (3 * total)).bit_length())
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
 
 
 def _by_rarity(tok: Column, levels: Column) -> Column:
-    """Sorted longs, rarest first: the class in the high bits, the hash below."""
+    """Sorted longs, rarest first: the class in the high bits, then length (longer is rarer), then the hash."""
 
     def key(w: Column) -> Column:
         h = _hash(w)
-        level = F.ascii(F.substring(levels, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+        level = F.get(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long")
+        short = F.lit(255) - F.least(F.length(w), F.lit(255))
+        return F.shiftleft(level, 56).bitwiseOR(F.shiftleft(short.cast("long"), 48)).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1)))
 
     return F.sort_array(F.transform(tok, key))
 
 
+class _Ids:
+    """Lines as single ordered numbers: document and line number side by side in a long, or in a decimal if they need more."""
+
+    def __init__(self, low: int | None, high: int | None, lines: int | None):
+        self.low, self.shift = low or 0, max(1, (lines or 1).bit_length())
+        self.wide = ((high or 0) - self.low + 1) << self.shift >= 1 << 63
+
+    def pack(self) -> Column:
+        doc, line = F.col("doc_id"), F.col("line_no")
+        if self.wide:
+            return doc.cast("decimal(38,0)") * F.lit(1 << self.shift).cast("decimal(18,0)") + line
+        return F.shiftleft(doc - self.low, self.shift).bitwiseOR(line.cast("long"))
+
+    def unpack(self) -> list[Column]:
+        i = F.col("id")
+        if self.wide:
+            doc = F.floor(i / F.lit(1 << self.shift).cast("decimal(18,0)")).cast("long")
+            return [doc.alias("doc_id"), (i - doc.cast("decimal(38,0)") * F.lit(1 << self.shift).cast("decimal(18,0)")).cast("int").alias("line_no")]
+        return [(F.shiftright(i, self.shift) + self.low).alias("doc_id"), i.bitwiseAND(F.lit((1 << self.shift) - 1)).cast("int").alias("line_no")]
+
+
 def _prefix(n: Column) -> Column:
     return n - F.ceil(n * F.lit(8) / F.lit(10)).cast("int") + 1
 
@@ -93,12 +118,14 @@ def _possible(a: str, b: str) -> Column:
     return fits & ((F.col(f"{a}.pos") < 0) | (F.col(f"{b}.pos") < 0) | (room >= _overlap_needed(na, nb)))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, levels: Column) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, ids: _Ids) -> DataFrame:
     """Of pairs(id, other), those whose full sets reach the threshold."""
-    need = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
-    by_doc = materialize(need.groupBy("id.doc_id").agg(F.collect_set("id.line_no").alias("want")), "need")
-    found = docs.join(checked_broadcast(by_doc), "doc_id").select("doc_id", "want", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).filter(F.array_contains("want", F.col("line_no")))
-    sets = found.select(F.struct("doc_id", "line_no").alias("id"), F.transform(_tokens(F.col("line")), _hash).alias("set")).dropDuplicates(["id"])
+    need = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct().select(*ids.unpack())
+    by_doc = materialize(need.groupBy("doc_id").agg(F.collect_set("line_no").alias("want")), "need")
+    parts = F.split("text", "\n", -1)
+    found = docs.join(checked_broadcast(by_doc), "doc_id").select("doc_id", F.explode("want").alias("line_no"), parts.alias("parts"))
+    found = found.select("doc_id", "line_no", _tokens(F.get("parts", "line_no")).alias("tok"))
+    sets = found.select(ids.pack().alias("id"), F.transform("tok", _hash).alias("set")).dropDuplicates(["id"])
     sets = materialize(sets, "sets")
     both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("set").alias("oset")), "other")
     common = F.size(F.array_intersect("set", "oset"))
@@ -111,35 +138,35 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     sorted_tok = _lines(docs).filter(F.size("tok") > 0).select("doc_id", "line_no", _by_rarity(F.col("tok"), levels).alias("a"))
     n = F.size("a")
     lines = sorted_tok.select(
-        F.struct("doc_id", "line_no").alias("id"), n.alias("n"), F.xxhash64("a").alias("s1"), F.hash("a").alias("s2"),
+        "doc_id", "line_no", n.alias("n"), F.xxhash64("a").alias("s1"), F.hash("a").alias("s2"),
         F.when(n >= 4, F.slice("a", F.lit(1), F.least(_prefix(n) + 1, n))).alias("head"),
     )
     lines = materialize(lines, "lines")
+    ids = _Ids(*lines.agg(F.min("doc_id"), F.max("doc_id"), F.max("line_no")).first())
+    lines = lines.select(ids.pack().alias("id"), "n", "s1", "s2", "head")
     firsts = materialize(with_group_min(lines.select("id", "n", "s1", "s2"), ["n", "s1", "s2"], "id", "first", by="id").select("id", "first"), "firsts")
     copies = firsts.filter(F.col("id") != F.col("first")).select("id")
     # Sets of up to three tokens are similar to equal sets only.
-    reps = lines.filter("head is not null").select("id", "n", "head").join(firsts.filter(F.col("id") == F.col("first")).select("id").distinct(), "id").dropDuplicates(["id"])
-
+    reps = lines.filter("head is not null").select("id", "n", "head").join(firsts.filter(F.col("id") == F.col("first")).select("id").distinct(), "id")
     rows = _index_rows(reps)
     shared = rows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter(F.col("lead") != F.col("last")).select("key", "lead")
     index = materialize(rows.join(shared, "key"), "index")
-    lead = index.filter(F.col("id") == F.col("lead")).select("key", F.col("id").alias("other"), F.col("n").alias("on"), F.col("pos").alias("opos")).dropDuplicates(["key"])
-    a = index.filter(F.col("id") != F.col("lead")).alias("a")
-    b = lead.select("key", F.col("other").alias("id"), F.col("on").alias("n"), F.col("opos").alias("pos")).alias("b")
+    lead = index.filter(F.col("id") == F.col("lead")).groupBy("key").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.first("pos").alias("pos"))
+    a, b = index.filter(F.col("id") != F.col("lead")).alias("a"), lead.alias("b")
     tried = a.join(b, (F.col("a.key") == F.col("b.key")) & _possible("a", "b")).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
     tried = materialize(tried, "tried")
-    near = materialize(_verified(docs, tried, levels).select("id").distinct(), "near")
+    near = materialize(_verified(docs, tried, ids).select("id").distinct(), "near")
 
     a = index.filter(F.col("id") != F.col("lead")).join(near, "id", "left_anti").alias("a")
     b = index.filter(F.col("id") != F.col("lead")).alias("b")
     rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("b.id") < F.col("a.id")) & _possible("a", "b")).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
     rest = materialize(rest.join(tried, ["id", "other"], "left_anti"), "rest")
-    late = _verified(docs, rest, levels).select("id")
+    late = _verified(docs, rest, ids).select("id")
 
     # All lines of a class go with its first line.
     gone = near.unionByName(late).distinct().select(F.col("id").alias("first"))
     other = firsts.filter(F.col("id") == F.col("first")).select("id", "first").join(gone, "first", "left_semi").select("id")
-    return copies.unionByName(other).distinct().select("id.doc_id", "id.line_no")
+    return copies.unionByName(other).distinct().select(*ids.unpack())
 
 
 def dedup_lines(docs: DataFrame, text_out: str = "text", counts: bool = False) -> DataFrame:
