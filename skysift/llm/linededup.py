@@ -99,23 +99,31 @@ def _overlap_needed(a: Column, b: Column) -> Column:
 
 
 def _index_rows(reps: DataFrame) -> DataFrame:
-    """(key, id, n, pos) of each class; ``head`` holds its first prefix + 1 tokens, rarest first."""
+    """(key, id, n, pos, mask) of each class; ``head`` holds its first prefix + 1 tokens, rarest first, ``mask`` a bit for each."""
     p = _prefix(F.col("n"))
     hot = F.lit(63 << 56)
-    rows = reps.select("id", "n", "head", F.posexplode(F.slice("head", F.lit(1), p)).alias("pos", "t"))
+    mask = F.expr("aggregate(head, 0L, (m, t) -> m | shiftleft(1L, cast(t & 63 as int)))")
+    rows = reps.select("id", "n", "head", mask.alias("mask"), F.posexplode(F.slice("head", F.lit(1), p)).alias("pos", "t"))
     others = F.filter("head", lambda o: o != F.col("t"))
     keys = F.when(F.col("t") < hot, F.array("t")).otherwise(F.transform(others, lambda o: F.xxhash64(F.least(F.col("t"), o), F.greatest(F.col("t"), o))))
-    return rows.select("id", "n", "pos", (F.col("t") >= hot).alias("paired"), F.explode(keys).alias("key")).select(
-        "key", "id", "n", F.when(F.col("paired"), -1).otherwise(F.col("pos")).cast("int").alias("pos")
+    return rows.select("id", "n", "mask", "pos", (F.col("t") >= hot).alias("paired"), F.explode(keys).alias("key")).select(
+        "key", "id", "n", F.when(F.col("paired"), -1).otherwise(F.col("pos")).cast("int").alias("pos"), "mask"
     )
 
 
 def _possible(a: str, b: str) -> Column:
-    """Length filter, and the positional filter for single tokens as the first that the two share."""
+    """Length filter; positional filter for single tokens as the first that the two share; and a count of what heads share.
+
+    Of the first h tokens of either set, at least h - max(sizes) + needed overlap are in both heads. Heads are compared by
+    64-bit masks, in which tokens of one head may fall together: as many as its size exceeds its bits are let pass."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    need = _overlap_needed(na, nb)
     room = 1 + F.least(na - 1 - F.col(f"{a}.pos"), nb - 1 - F.col(f"{b}.pos"))
     fits = (10 * na >= 8 * nb) & (10 * nb >= 8 * na)
-    return fits & ((F.col(f"{a}.pos") < 0) | (F.col(f"{b}.pos") < 0) | (room >= _overlap_needed(na, nb)))
+    ha, hb = (F.least(_prefix(n) + 1, n) for n in (na, nb))
+    ma, mb = F.col(f"{a}.mask"), F.col(f"{b}.mask")
+    shared = F.bit_count(ma.bitwiseAND(mb)) >= F.least(ha, hb) - F.greatest(na, nb) + need - (ha - F.bit_count(ma))
+    return fits & shared & ((F.col(f"{a}.pos") < 0) | (F.col(f"{b}.pos") < 0) | (room >= need))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, ids: _Ids) -> DataFrame:
@@ -151,7 +159,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     rows = _index_rows(reps)
     shared = rows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter(F.col("lead") != F.col("last")).select("key", "lead")
     index = materialize(rows.join(shared, "key"), "index")
-    lead = index.filter(F.col("id") == F.col("lead")).groupBy("key").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.first("pos").alias("pos"))
+    lead = index.filter(F.col("id") == F.col("lead")).groupBy("key").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("mask").alias("mask"))
     a, b = index.filter(F.col("id") != F.col("lead")).alias("a"), lead.alias("b")
     tried = a.join(b, (F.col("a.key") == F.col("b.key")) & _possible("a", "b")).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
     tried = materialize(tried, "tried")

@@ -190,8 +190,8 @@ def minhash_components(docs: DataFrame, threshold_pct: int = 85) -> DataFrame:
     full = sketches.filter("n_shingles > 0")
     classes = with_group_min(full.select("doc_id", "n_shingles", "fp1", "fp2"), ["n_shingles", "fp1", "fp2"], "doc_id", "rep", by="doc_id")
     classes = materialize(classes.select("doc_id", "n_shingles", "rep"), "classes")
-    reps = classes.filter("doc_id = rep").select("doc_id").distinct()
-    own = materialize(full.join(reps, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "bands", "sig"), "reps")
+    copies = materialize(classes.filter("doc_id <> rep").select("doc_id").distinct(), "copies")
+    own = full.join(checked_broadcast(copies), "doc_id", "left_anti").select("doc_id", "bands", "sig")
 
     flat = own.select("doc_id", F.posexplode("bands").alias("nth", "band"))
     sizes = flat.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
@@ -199,13 +199,13 @@ def minhash_components(docs: DataFrame, threshold_pct: int = 85) -> DataFrame:
     popularity = members.groupBy("doc_id").agg(F.sum("size").alias("shares"))
     ranked = members.join(popularity, "doc_id").select("band", "doc_id", "shares")
     pivots = ranked.groupBy("band").agg(F.max(F.struct("shares", (-F.col("doc_id")).alias("neg"))).alias("top")).select("band", (-F.col("top.neg")).alias("pivot"))
-    pairs = members.join(pivots, "band").filter("doc_id <> pivot").select("doc_id", "pivot").distinct()
+    # Each document is tried against the pivot that it shares most buckets with; ties go to the smaller id.
+    pairs = members.join(pivots, "band").filter("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("times"))
+    best = pairs.groupBy("doc_id").agg(F.max(F.struct("times", (-F.col("pivot")).alias("neg"))).alias("top")).select("doc_id", (-F.col("top.neg")).alias("pivot"))
     sig = own.select("doc_id", "sig")
-    signed = pairs.join(sig, "doc_id").join(sig.select(F.col("doc_id").alias("pivot"), F.col("sig").alias("psig")), "pivot")
-    near = signed.select("doc_id", "pivot", "sig", "psig").mapInArrow(_agreeing(floor), "doc_id long, pivot long")
-    weight = popularity.select(F.col("doc_id").alias("pivot"), "shares")
-    best = near.join(weight, "pivot").groupBy("doc_id").agg(F.max(F.struct("shares", (-F.col("pivot")).alias("neg"))).alias("top"))
-    best = materialize(best.select("doc_id", (-F.col("top.neg")).alias("pivot")), "near")
+    signed = best.join(sig, "doc_id").join(sig.select(F.col("doc_id").alias("pivot"), F.col("sig").alias("psig")), "pivot")
+    best = signed.select("doc_id", "pivot", "sig", "psig").mapInArrow(_agreeing(floor), "doc_id long, pivot long").distinct()
+    best = materialize(best, "near")
     links = materialize(confirm_links(docs, best, threshold_pct), "links")
     labels = connected_components(links)
 
