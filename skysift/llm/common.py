@@ -47,10 +47,11 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Written tables of at most this many rows may be broadcast.
+#: Written tables of at most this many rows, or items of their lists, may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
 
-def checked_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a written table of at most BROADCAST_ROWS rows; else leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def checked_broadcast(df: DataFrame, items: str | None = None) -> DataFrame:
+    """Broadcast a written table of at most BROADCAST_ROWS rows (or items of its list column); else leave it to a shuffle."""
+    size = df.limit(BROADCAST_ROWS + 1).count() if items is None else df.agg(F.sum(F.size(items) + 1)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_ROWS else df

@@ -131,7 +131,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, ids: _Ids) -> DataFrame:
     need = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct().select(*ids.unpack())
     by_doc = materialize(need.groupBy("doc_id").agg(F.collect_set("line_no").alias("want")), "need")
     parts = F.split("text", "\n", -1)
-    found = docs.join(checked_broadcast(by_doc), "doc_id").select("doc_id", F.explode("want").alias("line_no"), parts.alias("parts"))
+    found = docs.join(checked_broadcast(by_doc, "want"), "doc_id").select("doc_id", F.explode("want").alias("line_no"), parts.alias("parts"))
     found = found.select("doc_id", "line_no", _tokens(F.get("parts", "line_no")).alias("tok"))
     sets = found.select(ids.pack().alias("id"), F.transform("tok", _hash).alias("set")).dropDuplicates(["id"])
     sets = materialize(sets, "sets")
@@ -182,7 +182,7 @@ def dedup_lines(docs: DataFrame, text_out: str = "text", counts: bool = False) -
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     gone = removed_lines(plain).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
     gone = materialize(gone, "gone")
-    rows = docs.join(checked_broadcast(gone), docs["doc_id"].cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
+    rows = docs.join(checked_broadcast(gone, "_gone"), docs["doc_id"].cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
     parts = F.split(F.col("text").cast("string"), "\n", -1)
     kept = F.filter(parts, lambda x, i: ~F.array_contains("_gone", i))
     new = {text_out: F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import checked_broadcast, materialize
+from .common import materialize
 
 MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 2, 20, 50
 
@@ -126,7 +126,7 @@ def dedup_spans(docs: DataFrame, counts: bool = False) -> DataFrame:
     """``docs`` with covered sentences cut from ``text``; with ``counts``, also n_sentences and n_removed."""
     marks = materialize(covered_spans(docs).withColumnRenamed("doc_id", "_span_id"), "covered")
     rows = docs.withColumn("text", F.col("text").cast("string"))
-    rows = rows.join(checked_broadcast(marks), rows["doc_id"].cast("long") == F.col("_span_id"), "left").drop("_span_id")
+    rows = rows.join(marks, rows["doc_id"].cast("long") == F.col("_span_id"), "left").drop("_span_id")
     names = rows.columns
     schema = rows.drop("_spans").schema
     if counts:
