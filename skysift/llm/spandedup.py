@@ -1,14 +1,18 @@
 """Substring dedup over sliding sentence spans (operator 3).
 
 Semantics. A sentence ends at a word whose last byte is one of ``.!?`` or that a line feed follows, and at the end of the
-text; words are runs of bytes other than space and 0x09-0x0D. A span starts at every sentence and takes the fewest
-consecutive sentences that make at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words, or at least ``LONG_WORDS``
-words; where the text ends first there is none. Two spans are equal when their words are. Spans are ordered by (doc_id,
-sentence); every sentence covered by a span that is not the first of its equals is removed, judged on the input, with the
-white space behind it. Spans with hashes of 64 bits taken together over sentence bounds stand for their words. Null and
+text; words are runs of bytes other than space and 0x09-0x0D. A run of consecutive sentences of one text counts when it
+makes at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words, or at least ``LONG_WORDS`` words. Two runs are equal
+when their words are. Runs are ordered by (doc_id, sentence); every sentence covered by a run that is not the first of its
+equals is removed, judged on the input, with the white space behind it. Spans with hashes of 64 bits taken together over sentence bounds stand for their words. Null and
 empty texts have no sentences and come through unchanged; null ids come through unchanged; rows repeated with one id are
 taken as one text repeated and lose the same sentences. An empty table gives an empty result; extra columns pass through.
 
+Of all runs, two sorts of spans stand for the rest: from every sentence the fewest that count, and up to every sentence the
+fewest that count. In a run that repeats sentence by sentence, each sentence either starts a span that ends within the run
+or lies in the span up to the run's end, and both repeat with it. Only where a line feed splits the same words differently
+in two texts can a run repeat without its spans.
+
 Spans are aggregated by hash with map-side partials; only hashes that repeat come back, in a sort-merge join whose hot
 keys adaptive execution splits. A document's covered spans are bounded by its own sentences.
 """
@@ -64,7 +68,14 @@ def spans(c: tk.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     by_length = np.searchsorted(end, first + LONG_WORDS, "left")
     stop = np.minimum(by_words, by_length)
     ok = stop < base[row + 1]
-    at, stop, row = at[ok], stop[ok], row[ok]
+    # The last sentence whose start gives enough words, by search over sentence starts.
+    by_words = np.minimum(np.searchsorted(first, end - MIN_WORDS, "right") - 1, at - MIN_SENTENCES + 1)
+    by_length = np.searchsorted(first, end - LONG_WORDS, "right") - 1
+    back = np.maximum(by_words, by_length)
+    new = back >= base[row]
+    # Spans that are found from both ends are given once.
+    new[new] = stop[back[new]] != at[new]
+    at, stop, row = np.concatenate([at[ok], back[new]]), np.concatenate([stop[ok], at[new]]), np.concatenate([row[ok], row[new]])
     prefix = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * tk.powers(len(words)), out=prefix[1:])
     a, b = first[at], end[stop]
@@ -141,8 +152,9 @@ def span_digest(docs: DataFrame) -> DataFrame:
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, str | None]:
-    """The definition, row by row in plain Python; for tests."""
-    parsed, seen, drop = {}, {}, {}
+    """The definition over every run, row by row in plain Python; for tests. Hashes mod a prime of 127 bits stand for words."""
+    parsed, seen, drop = {}, set(), {}
+    prime, power = (1 << 127) - 1, [1]
     for doc, text in sorted(rows, key=lambda r: r[0]):
         data = (text or "").encode()
         words, at = [], 0
@@ -158,15 +170,21 @@ def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, str | None]:
                 begin = i + 1
         parsed[doc] = (data, words, out)
         drop[doc] = set()
+        prefix = [0]
+        for x, y in words:
+            prefix.append((prefix[-1] * 1_000_003 + int.from_bytes(hashlib.sha256(data[x:y]).digest()[:15], "big")) % prime)
+        while len(power) < len(prefix):
+            power.append(power[-1] * 1_000_003 % prime)
         for s in range(len(out)):
+            covered = 0
             for k in range(1, len(out) - s + 1):
-                n = out[s + k - 1][1] - out[s][0]
-                if (k >= MIN_SENTENCES and n >= MIN_WORDS) or n >= LONG_WORDS:
-                    key = tuple(data[a:b] for a, b in words[out[s][0] : out[s + k - 1][1]])
+                a, b = out[s][0], out[s + k - 1][1]
+                if (k >= MIN_SENTENCES and b - a >= MIN_WORDS) or b - a >= LONG_WORDS:
+                    key = (prefix[b] - prefix[a] * power[b - a]) % prime
                     if key in seen:
-                        drop[doc] |= set(range(s, s + k))
-                    seen.setdefault(key, (doc, s))
-                    break
+                        covered = k
+                    seen.add(key)
+            drop[doc] |= set(range(s, s + covered))
     final = {}
     for doc, text in rows:
         data, words, out = parsed[doc]

@@ -61,3 +61,17 @@ def test_spans_edges(spark):
     extra = frame(spark, odd_rows()[:4]).withColumns({"h": F.lit(1), "s": F.lit(2), "lead": F.lit("x")})
     assert spandedup.dedup_spans(extra).columns == extra.columns
     assert spandedup.dedup_spans(frame(spark, [(None, "A b. C d.", None, None, 1)])).first().text == "A b. C d."
+
+
+def test_a_repeated_run_goes_to_its_end(spark):
+    rng = random.Random(6)
+    passage = " ".join(sentence(rng, n) for n in (18, 5, 5))
+    rows = [(1, passage + " " + sentence(rng, 12), None, None, 1), (2, passage + " " + sentence(rng, 12), None, None, 1)]
+    lengths = [rng.choice([1, 2, 3, 5, 18, 25, 60]) for _ in range(60)]
+    parts = [sentence(rng, n) for n in lengths]
+    for k in range(40):
+        a, n = rng.randrange(55), rng.randint(1, 6)
+        rows.append((10 + k, " ".join([sentence(rng, 4), *parts[a : a + n], sentence(rng, rng.choice([2, 30]))]), None, None, 1))
+    got = {r.doc_id: r.text for r in spandedup.dedup_spans(frame(spark, rows)).collect()}
+    assert got == spandedup.brute_force([(r[0], r[1]) for r in rows])
+    assert got[1] == rows[0][1] and got[2] == rows[1][1][len(passage) + 1 :]
