@@ -8,7 +8,7 @@ row, repeated rows equal rows; an empty table gives an empty result; extra colum
 
 Inputs of a word: a hashed word embedding and the mean of hashed embeddings of its four-byte character runs.
 Training: multiple-instance learning on a bounded, documented sample of labelled rows (``MAX_POSITIVE``, ``MAX_NEGATIVE``
-rows of ``MAX_WORDS`` words at most): a document's highest window carries its label. Without both labels the model stays
+rows, each text whole, whatever its length): a document's highest window carries its label. Without both labels the model stays
 constant at the share of label 1.
 """
 
@@ -29,10 +29,12 @@ WINDOW, STRIDE = 48, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 WORD_BITS, CHAR_BITS = 18, 17
 #: The sample that the model is fitted on.
-MAX_POSITIVE, MAX_NEGATIVE, MAX_WORDS = 1200, 4800, 350
+MAX_POSITIVE, MAX_NEGATIVE = 1200, 4800
 EPOCHS = 7
 #: Small samples are gone through more often, to this many steps.
 MIN_STEPS = 300
+#: Windows that go through the network at once.
+BATCH = 2048
 EMPTY_SCORE = 0.0
 THRESHOLD = 0.7
 SEED = 11
@@ -194,8 +196,8 @@ class BiGru:
         order = np.argsort(-length, kind="stable")
         cuts = [0, int((length == WINDOW).sum()), len(row)]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            for a in range(lo, hi, 2048):
-                pick = order[a : min(a + 2048, hi)]
+            for a in range(lo, hi, BATCH):
+                pick = order[a : min(a + BATCH, hi)]
                 best[pick] = self.forward(proj, w.inverse, first[pick], length[pick])
         np.maximum.at(out, row, best)
         return out
@@ -235,7 +237,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED)
                 continue
             x = net.inputs(w)
             proj = x @ net.p["wx"] + net.p["bx"]
-            logit = net.forward(proj, w.inverse, first, length)
+            logit = np.concatenate([net.forward(proj, w.inverse, first[i : i + BATCH], length[i : i + BATCH]) for i in range(0, len(row), BATCH)])
             # Early on, a random window stands in now and then, so that no first guess settles the choice.
             rank = logit + (rng.gumbel(size=len(logit)) * (1.0 if epoch < 2 else 0.0)).astype(np.float32)
             by = np.lexsort((-rank, row))
@@ -266,16 +268,17 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED)
     return net
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, max_words: int = MAX_WORDS) -> BiGru:
+def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> BiGru:
     """Fit on labelled rows that are not held out: those with the smallest hashed ids of each label, within the bounds."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    ranked = [known.filter(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most) for k, most in ((1, max_positive), (0, max_negative))]
+    # Labels without a document must not use up the sample: they go before the pick.
+    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    ranked = [known.filter(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k, most in ((1, max_positive), (0, max_negative))]
     sample = ranked[0].unionByName(ranked[1])
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    text = text.filter(F.length("text") <= 8 * max_words)
     rows = text.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    parts = [rows.filter(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "toxic") for k, most in ((1, max_positive), (0, max_negative))]
+    parts = [rows.filter(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic") for k in (1, 0)]
     got = parts[0].unionByName(parts[1]).toArrow()
     return fit(got.column("text").to_pylist(), got.column("toxic").to_numpy().astype(float))
 

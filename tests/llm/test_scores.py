@@ -46,6 +46,18 @@ def test_toxicity_without_labels_is_constant(spark):
     assert {r.score for r in toxicity.score_toxicity(frame(spark), net).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    rng = random.Random(7)
+    rows, labels = labelled()
+    long = [" ".join([text, *words(rng, 900)]) if k % 4 == 0 else text for k, text, *_ in rows]
+    rows = [(r[0], text, *r[2:]) for r, text in zip(rows, long, strict=True)]
+    # Labels of no document do not use up the sample.
+    lab = spark.createDataFrame(labels + [(k, 0, 1) for k in range(10_000, 10_400)], "doc_id long, quality int, toxic int")
+    net = toxicity.train_toxicity(frame(spark, rows), lab, 100, 400)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(frame(spark, rows), net).collect()}
+    assert net.constant is None and sum(got[k].predicted for k in got if k % 4 == 0) > 50
+
+
 def test_gradients_match_differences():
     net = toxicity.BiGru(2)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
