@@ -12,7 +12,11 @@ extra columns pass through.
 
 Method. A surrogate is a keyed permutation (an unbalanced Feistel network on mixed-radix numbers, so distinctness needs no
 table) of the entity's free characters. Distinct entities of the corpus are aggregated, and a check finds surrogates that
-equal one another or a value of the corpus; those entities move to their next attempt until none is left.
+equal one another or a value of the corpus; those entities move to their next attempt until none is left. From attempt
+``MAX_ATTEMPTS`` on, formats without a fixed length grow, more so with every ``MAX_ATTEMPTS`` attempts: a listed given name
+becomes several of the same gender and script joined by hyphens, other names and the local parts of addresses get more
+letters. Numbers and keys cannot grow; where a corpus holds so much of such a format that no free value is found in
+``LAST_ATTEMPT`` attempts, the query fails rather than give a value twice.
 """
 
 from __future__ import annotations
@@ -30,8 +34,9 @@ from pyspark.sql.types import StructType
 from .common import materialize
 
 KEY = b"skysift-surrogates-1"
-MAX_ATTEMPTS = 12
-#: Exceptions to the first attempt are broadcast; there must not be more than this.
+#: Attempts within a format before it grows, and the attempt at which formats that cannot grow give up.
+MAX_ATTEMPTS, LAST_ATTEMPT = 12, 240
+#: Up to so many exceptions to the first attempt are broadcast; more are joined by a shuffle.
 MAX_EXCEPTIONS = 500_000
 
 #: Given names by gender and script; surrogates are drawn from the same list.
@@ -162,25 +167,51 @@ def _code(raw: str, label: str) -> str:
     return "".join(a[v] for a, v in zip(kinds, new, strict=True))
 
 
-def _name(value: str, label: str) -> str:
+def _drawn(seed: str, sizes: list[int]) -> list[int]:
+    """A keyed number below each size."""
+    digest = hashlib.shake_256(hmac.new(KEY, seed.encode(), hashlib.sha256).digest()).digest(8 * len(sizes))
+    return [int.from_bytes(digest[8 * k : 8 * k + 8], "big") % n for k, n in enumerate(sizes)]
+
+
+def _longer(word: str, label: str, grow: int) -> str:
+    """``word`` permuted, letters of no known alphabet replaced, and ``grow`` pairs of letters of its script behind it."""
+    script = next((s for ch in word.lower() for s in _VOWELS if ch in _VOWELS[s] or ch in _OTHERS[s]), None)
+    if script is None:
+        code = next((ord(ch) for ch in word if ch.isalpha()), 0)
+        script = "greek" if 0x370 <= code < 0x400 or 0x1F00 <= code < 0x2000 else "cyrillic" if 0x400 <= code < 0x530 else "latin"
+    alphabets = [_OTHERS[script], _VOWELS[script]]
+    strange = [k for k, ch in enumerate(word) if ch.isalpha() and ch.lower() not in _CLASS]
+    fill = [alphabets[k % 2] for k in range(len(strange) + 2 * grow)]
+    letters = [a[n] for a, n in zip(fill, _drawn(f"{label}|{word}", [len(a) for a in fill]), strict=True)]
+    out = list(_chars(word, label))
+    for k, ch in zip(strange, letters, strict=False):
+        out[k] = ch
+    return "".join([*out, *letters[len(strange) :]])
+
+
+def _name(value: str, label: str, grow: int = 0) -> str:
     out = []
     for word in value.split(" "):
         found = _PLACE.get(word)
-        if found:
+        if found and grow:
+            # Never the name itself among its parts.
+            names = [n for n in GIVEN[found[0]] if n.lower() != word]
+            out.append("-".join(names[k].lower() for k in _drawn(f"{label}|{word}", [len(names)] * (grow + 1))))
+        elif found:
             names = GIVEN[found[0]]
             out.append(names[_permute([found[1]], [len(names)], f"{label}|{found[0]}")[0]].lower())
         else:
-            out.append(_chars(word, label))
+            out.append(_longer(word, label, grow) if grow else _chars(word, label))
     return " ".join(out)
 
 
 def surrogate(kind: str, value: str, attempt: int = 0) -> str:
     """The surrogate of a normal value."""
-    label = f"{kind}|{attempt}"
+    label, grow = f"{kind}|{attempt}", attempt // MAX_ATTEMPTS
     if kind == "email":
         local, _, domain = value.partition("@")
         head, _, tail = domain.rpartition(".")
-        return f"{_chars(local, label)}@{_chars(head, label + '|domain')}.{tail}"
+        return f"{_longer(local, label, grow) if grow else _chars(local, label)}@{_chars(head, label + '|domain')}.{tail}"
     if kind == "card":
         new = value[0] + _chars(value[1:-1], label + value[0] + str(len(value)))
         return new + luhn_digit(new)
@@ -194,7 +225,7 @@ def surrogate(kind: str, value: str, attempt: int = 0) -> str:
     if kind == "phone":
         head = 2 if value.startswith("+") else 0
         return value[:head] + _chars(value[head:], label)
-    return _name(value, label) if kind == "name" else _chars(value, label)
+    return _name(value, label, grow) if kind == "name" else _chars(value, label)
 
 
 def render(kind: str, raw: str, value: str) -> str:
@@ -239,7 +270,7 @@ def entity_attempts(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.col("text").cast("string").alias("text"))
     every = materialize(plain.mapInArrow(_detect, "kind string, value string").distinct(), "entities")
     now = every.withColumn("attempt", F.lit(0))
-    for _ in range(MAX_ATTEMPTS):
+    while True:
         given = materialize(now.mapInArrow(_assign, "kind string, value string, attempt int, surrogate string"), "surrogates")
         twice = given.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("keep"), F.count("*").alias("n")).filter("n > 1")
         clash = given.join(twice, ["kind", "surrogate"]).filter(F.col("value") != F.col("keep.value")).select("kind", "value")
@@ -248,24 +279,46 @@ def entity_attempts(docs: DataFrame) -> DataFrame:
         if bad.isEmpty():
             break
         now = given.join(bad, ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.when(F.col("bad"), 1).otherwise(0)).alias("attempt"))
+        if not now.filter(F.col("attempt") >= LAST_ATTEMPT).isEmpty():
+            raise RuntimeError("the corpus holds so many values of one format that surrogates find no free value in it")
     return given.filter("attempt > 0").select("kind", "value", "attempt")
 
 
+def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = {(key, kind, normal(kind, t[a:e])) for key, t in dict(zip(*(b.column(k).to_pylist() for k in range(2)), strict=True)).items() for a, e, kind in find_entities(t)}
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in range(3)], names=["_text_key", "kind", "value"])
+
+
+def _with_attempts(docs: DataFrame, odd: DataFrame) -> DataFrame:
+    """``docs`` with ``_attempts``, the exceptions that occur in its text; texts are met by the digest of what they say."""
+    key = F.sha2("text", 256)
+    found = docs.filter("text is not null").select(key.alias("_text_key"), "text").mapInArrow(_mentions, "_text_key string, kind string, value string")
+    own = found.join(odd.hint("shuffle_merge"), ["kind", "value"]).groupBy("_text_key").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("_attempts"))
+    return docs.join(own.hint("shuffle_merge"), key == F.col("_text_key"), "left").drop("_text_key")
+
+
 def replace_pii(docs: DataFrame, counts: bool = False) -> DataFrame:
     """``docs`` with surrogates in ``text``; with ``counts``, also n_entities and kinds."""
-    odd = entity_attempts(docs).limit(MAX_EXCEPTIONS + 1).collect()
-    if len(odd) > MAX_EXCEPTIONS:
-        raise RuntimeError("too many surrogates clash with values of the corpus: use another key or longer formats")
-    shared = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["value"]): r["attempt"] for r in odd})
+    attempts = entity_attempts(docs)
+    odd = attempts.limit(MAX_EXCEPTIONS + 1).collect()
+    many = len(odd) > MAX_EXCEPTIONS
+    shared = docs.sparkSession.sparkContext.broadcast({} if many else {(r["kind"], r["value"]): r["attempt"] for r in odd})
     docs = docs.withColumn("text", F.col("text").cast("string"))
     place = docs.columns.index("text")
     schema = StructType(list(docs.schema.fields))
     if counts:
         schema = schema.add("n_entities", "long").add("kinds", "string")
+    if many:
+        docs = _with_attempts(docs, attempts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [(None, []) if t is None else replace_entities(t, shared.value) for t in b.column(place).to_pylist()]
+            own = [shared.value] * b.num_rows
+            if many:
+                own = [{(x["kind"], x["value"]): x["attempt"] for x in found or ()} for found in b.column(b.num_columns - 1).to_pylist()]
+                b = pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1])
+            done = [(None, []) if t is None else replace_entities(t, o) for t, o in zip(b.column(place).to_pylist(), own, strict=True)]
             cols, names = list(b.columns), list(b.schema.names)
             cols[place] = pa.array([t for t, _ in done], pa.string())
             if counts:

@@ -63,6 +63,22 @@ def test_coreference_and_distinctness_over_the_corpus(spark):
     assert pii.replace_pii(frame(spark, [])).count() == 0
 
 
+def test_a_used_up_list_of_names(spark, monkeypatch):
+    names = pii.GIVEN["m", "greek"] + ["Öß", "Bo"]
+    mails = [f"{a}@{b}.org" for a in "aeiou" for b in "aeiou"]
+    rows = [(k, f"Herr {n}, hier", None, None, 1) for k, n in enumerate(names)] + [(100 + k, f"to {m} now", None, None, 1) for k, m in enumerate(mails)]
+    rows += [rows[0], (500, None, None, None, 1), (None, rows[1][1], None, None, 1)]
+    docs = frame(spark, rows).withColumn("kind", F.lit(1))
+    out = pii.replace_pii(docs).collect()
+    new = {r.text.split()[1].strip(",").lower() for r in out if r.text}
+    assert len(out) == len(rows) and len(new) == len(names) + len(mails)
+    assert not new & {n.lower() for n in names + mails}
+    greek = {n.lower() for n in pii.GIVEN["m", "greek"]}
+    assert all(set(r.text.split()[1].strip(",").lower().split("-")) <= greek for r in out if r.doc_id is not None and r.doc_id < 7)
+    monkeypatch.setattr(pii, "MAX_EXCEPTIONS", 1)
+    assert sorted(map(str, pii.replace_pii(docs).collect())) == sorted(map(str, out))
+
+
 def corpus(spark, n=3000):
     rng = random.Random(4)
     rows = [(k, "w " * rng.randint(1, 60) + rng.choice(["", " | x", "@", "License"]), rng.choice(["en", "en", "de", "fr", None]), rng.choice(["src0"] * 5 + ["src1", "src2", "zz", None]), 1) for k in range(n)]
