@@ -57,7 +57,8 @@ def frame_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id, CAST((i - 1) // 8 AS INTEGER) AS y, CAST((i - 1) % 8 AS INTEGER) AS x, CAST(round(v * 1000) AS BIGINT) AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) WHERE i <= 64")
 def pixel_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = d.read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 64)).alias("i", "v"))
+    whole = F.when(F.col("embedding").isNotNull() & (F.size("embedding") != 64), F.raise_error(F.lit("an embedding does not have 64 values, so it is no patch of 8 x 8"))).otherwise(F.col("embedding"))
+    e = d.read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(whole).alias("i", "v"))
     return e.select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), F.round(F.col("v") * 1000).cast("long").alias("v"))
 
 

@@ -134,3 +134,14 @@ def test_stream_of_frames(spark, tmp_path):
     q = read_frames(spark, str(tmp_path / "in")).writeStream.foreachBatch(lambda df, _: seen.append(extract_batch(df, CONFIG).count())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sum(seen) > 5
+
+
+def test_pixel_explode_cuts_nothing(spark, tmp_path):
+    from skysift.plans import catalog
+
+    for name, size in (("whole", 64), ("long", 65)):
+        spark.createDataFrame([(1, [k / 10 for k in range(size)])], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / name / "embeddings.parquet"))
+    got = {(r.y, r.x): r.v for r in catalog.pixel_explode(spark, str(tmp_path / "whole")).collect()}
+    assert got == {(k // 8, k % 8): k * 100 for k in range(64)}
+    with pytest.raises(Exception, match="64 values"):
+        catalog.pixel_explode(spark, str(tmp_path / "long")).collect()
