@@ -15,6 +15,7 @@ members of the same component excepted, so that no link between different texts
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,8 @@ SHINGLE = 5
 BANDS, ROWS = 26, 5
 #: Minima kept for the estimate of a pair's similarity; the first BANDS * ROWS also make the bands.
 HASHES = 320
-#: A pair at the threshold passes with at most this shortfall of its estimate: four standard deviations.
-SLACK = 0.08
+#: Of pairs exactly at the threshold, the estimate leaves out at most this share.
+MISSED = 3e-5
 BLOCK = 256
 #: Members that share one copy of a pivot's text when links are confirmed.
 MEMBERS = 64
@@ -179,11 +180,19 @@ def _block_pairs(floor: float):
     return run
 
 
+def least_estimate(threshold_pct: int) -> float:
+    """The lowest estimate that a pair at the threshold may have: the tail of the binomial below it is at most MISSED."""
+    at, tail, k = threshold_pct / 100, 0.0, 0
+    while k < HASHES and (tail := tail + math.comb(HASHES, k) * at**k * (1 - at) ** (HASHES - k)) <= MISSED:
+        k += 1
+    return k / HASHES
+
+
 def minhash_components(docs: DataFrame, threshold_pct: int = 85) -> DataFrame:
     """``docs``(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept) as the module's text defines."""
     if not 80 <= threshold_pct <= 100:
         raise ValueError("threshold_pct must be in 80..100: the bands are chosen for such links")
-    floor = threshold_pct / 100 - SLACK
+    floor = least_estimate(threshold_pct)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = materialize(docs.mapInArrow(_sketch, SKETCH), "sketch")
 

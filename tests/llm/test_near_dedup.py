@@ -1,3 +1,4 @@
+import math
 import random
 from itertools import combinations
 
@@ -6,7 +7,7 @@ from helpers import SCHEMA, frame, odd_rows, words
 from pyspark.sql import functions as F
 
 from skysift.llm.components import connected_components
-from skysift.llm.minhash import minhash_components, near_dedup
+from skysift.llm.minhash import HASHES, least_estimate, minhash_components, near_dedup
 
 
 def shingles(text):
@@ -50,6 +51,13 @@ def test_matches_brute_force(spark, pct):
     assert got == brute(rows, pct)
 
 
+@pytest.mark.parametrize("pct", [80, 85, 90, 95])
+def test_pairs_at_the_threshold_pass_the_estimate(pct):
+    p = pct / 100
+    least = round(least_estimate(pct) * HASHES)
+    assert sum(math.comb(HASHES, k) * p**k * (1 - p) ** (HASHES - k) for k in range(least)) < 4e-5
+
+
 def test_empty_repeated_and_extra_columns(spark):
     assert minhash_components(frame(spark, []), 85).count() == 0
     rows = near_copies(6)
