@@ -1,8 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy (operator 7).
 
 Semantics. A text's words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. Overlapping windows of
-``WINDOW`` words start every ``STRIDE`` words, the last one at the end; a text's score is the highest window's, so every
-word of every text is scored twice or more. Texts without words (null, empty, blank) score ``EMPTY_SCORE``. predicted is 1
+``WINDOW`` words start every ``STRIDE`` words, the last one at the end; a text's score is the highest window's. Every word
+is in a window, those near the start and the end of a text in one only; passages of up to ``WINDOW - STRIDE`` words lie
+whole in a window, longer ones may be split. Texts without words (null, empty, blank) score ``EMPTY_SCORE``. predicted is 1
 when score >= 0.7. held_out: crc32 of the id as decimal text mod 3 is 1; such labels are never read. Every row gives one
 row, repeated rows equal rows; an empty table gives an empty result; extra columns are ignored.
 
