@@ -12,19 +12,32 @@ SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
+    """The folder that driver and executors share. Where none is named, a local one serves a local session only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (path or "/tmp/skysift-checkpoints").rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str | int) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it from clashing with a column."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def salt_of(col: Column | str, n: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
 

@@ -6,66 +6,71 @@ removed when an earlier line's token set has a Jaccard similarity of at least 0.
 lines without tokens stay. The other lines, joined by \\n, are the new text: null stays null, an empty text stays empty, a
 document that loses all lines keeps an empty text and its row. Rows repeated with one id are treated as one text
 repeated: within equal ids the order is that of line numbers, and all such rows lose the lines that any of them loses.
-Null ids come through unchanged. An empty table gives an empty result. Extra columns pass through.
-
-Method. Tokens are ordered by rarity: by a class of their count in 8,192 hashed buckets, counted over all texts,
-then by length (longer words are rarer), then by hash. Lines of equal sets are one class, kept by its first line. A class puts its first n - ceil(0.8 n) + 1 tokens (its
-prefix) into an index; a token of a very frequent class is paired with each other token of the prefix that is one longer,
-in which similar sets share two. Index rows meet first with one row a key, the earliest; classes that this resolves stop
-looking, the others meet all earlier rows of their keys, so large groups of variants do not make all pairs. Length and
-positional filters act inside the join; what passes is verified on full sets.
+Null ids come through unchanged. An empty table gives an empty result. Extra columns pass through, whatever their names;
+with ``counts``, columns named n_lines and n_removed are replaced.
+
+Method. Each line is parsed once: its sorted token hashes (64 bits) are written, and all further steps read them. Lines of
+equal sets are one class, kept by its first line. Tokens are ordered by rarity: by their count over all lines in 32,768
+hashed buckets, on a scale of a quarter octave, then by hash; the table is of fixed size, and any total order is valid for
+prefix filters. A class puts its first n - ceil(0.8 n) + 1 tokens (its prefix) into an index; a token of a very frequent
+bucket is paired with each other token of the prefix that is one longer, in which similar sets share two.
+
+Rows of the index meet by key, a later with an earlier one, under the length and positional filters and a bound on the
+sets' difference: 64 or 128 parity bits a set differ in at most as many places as the sets do. Before that, classes meet the
+earliest class that shares their two least or two greatest hashes, in rounds; those that this resolves look no further, so
+a large group of variants does not make all its pairs. What passes is verified on full sets.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialize, with_group_min
+from .common import checked_broadcast, fresh, materialize
 
-BUCKETS = 1 << 13
+BUCKETS = 1 << 15
 #: A token bucket with more than this share of all tokens is paired.
 HOT_SHARE = 1 / 2000
+#: The rarity level, in the high bits of a key, of a token that is paired.
+HOT_LEVEL = 127
+#: Sets of more tokens are compared by 128 parity bits instead of 64.
+WIDE = 64
+#: Rounds of leads at most; what they leave goes to the index, which finds every pair.
+ROUNDS = 4
+#: A further round pays if the last one resolved one row in so many.
+WORTH = 20
 
 
-def _tokens(line: Column) -> Column:
-    low = F.lower(line)
-    odd = low.contains("\t") | low.contains("\r") | low.contains("\x0b") | low.contains("\x0c")
-    parts = F.when(odd, F.split(low, r"[\x20\x09-\x0D]+")).otherwise(F.split(low, " "))
-    return F.array_remove(F.array_distinct(parts), "")
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("tok", _tokens(F.col("line")))
-
-
-def _hash(w: Column) -> Column:
-    return F.xxhash64(w)
+    """(doc_id, line_no, n, s1, s2, mask, half, h) of each line: its distinct token hashes in order, two hashes of these, and
+    for each of 64 places the parity of how many tokens fall there; ``half`` counts half of the tokens of a long line."""
+    odd = reduce(lambda a, b: a | b, [F.col("text").contains(x) for x in "\t\r\x0b\x0c"])
+    flat = docs.select("doc_id", F.lower(F.when(odd, F.translate("text", "\t\r\x0b\x0c", "    ")).otherwise(F.col("text"))).alias("text"))
+    lines = flat.select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
+    hashes = F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    lines = lines.select("doc_id", "line_no", F.sort_array(F.array_distinct(hashes)).alias("h"))
+    flip = F.aggregate("h", _long(0), lambda m, t: m.bitwiseXOR(F.call_function("shiftleft", _long(1), t.bitwiseAND(_long(63)).cast("int"))))
+    half = F.aggregate("h", _long(0), lambda m, t: m.bitwiseXOR(F.call_function("shiftleft", F.shiftright(t, 6).bitwiseAND(_long(1)), t.bitwiseAND(_long(63)).cast("int"))))
+    half = F.when(F.size("h") > WIDE, half).otherwise(_long(0))
+    return lines.select("doc_id", "line_no", F.size("h").alias("n"), F.xxhash64("h").alias("s1"), F.hash("h").alias("s2"), flip.alias("mask"), half.alias("half"), "h")
 
 
-def _class_table(docs: DataFrame) -> Column:
-    """A constant array of BUCKETS numbers: 0 for buckets of ordinary size, then the logarithm of how far a bucket's count
-    exceeds the mean, 63 when hot. Every token of every text is counted."""
-    flat = F.translate(F.lower("text"), "\n\t\r\x0b\x0c", "     ")
-    words = docs.select(F.explode(F.split(flat, " ")).alias("w")).filter("w <> ''")
-    counts = words.groupBy(F.pmod(_hash(F.col("w")), F.lit(BUCKETS)).cast("int").alias("b")).count().collect()
-    total = sum(r["count"] for r in counts)
-    levels = [0] * BUCKETS
-    for r in counts:  # BUCKETS rows at most
-        levels[r["b"]] = 63 if r["count"] > max(total * HOT_SHARE, 64) else min(40, (2 * r["count"] * BUCKETS // (3 * total)).bit_length())
-    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
+def _levels(lines: DataFrame) -> Column:
+    """A constant array of BUCKETS numbers: a bucket's level by its count over all lines, shifted to where keys carry it."""
+    bucket = F.col("t").bitwiseAND(_long(BUCKETS - 1)).cast("int")
+    counts = dict(lines.select(F.explode_outer("h").alias("t")).groupBy(bucket.alias("b")).count().collect())  # BUCKETS rows at most
+    hot = max(sum(counts.values()) * HOT_SHARE, 64)
 
+    def level(c: int) -> int:
+        return HOT_LEVEL if c > hot else min(HOT_LEVEL - 1, c.bit_length() * 4 + (c << 2 >> c.bit_length() - 1 & 3)) if c else 0
 
-def _by_rarity(tok: Column, levels: Column) -> Column:
-    """Sorted longs, rarest first: the class in the high bits, then length (longer is rarer), then the hash."""
-
-    def key(w: Column) -> Column:
-        h = _hash(w)
-        level = F.get(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long")
-        short = F.lit(255) - F.least(F.length(w), F.lit(255))
-        return F.shiftleft(level, 56).bitwiseOR(F.shiftleft(short.cast("long"), 48)).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1)))
-
-    return F.sort_array(F.transform(tok, key))
+    return F.split(F.lit(",".join(str(level(counts.get(b, 0)) << 56) for b in range(BUCKETS))), ",").cast("array<bigint>")
 
 
 class _Ids:
@@ -73,12 +78,12 @@ class _Ids:
 
     def __init__(self, low: int | None, high: int | None, lines: int | None):
         self.low, self.shift = low or 0, max(1, (lines or 1).bit_length())
-        self.wide = ((high or 0) - self.low + 1) << self.shift >= 1 << 63
+        self.wide = ((high or 0) - self.low + 1) << self.shift >= 1 << 62
 
     def pack(self) -> Column:
         doc, line = F.col("doc_id"), F.col("line_no")
         if self.wide:
-            return doc.cast("decimal(38,0)") * F.lit(1 << self.shift).cast("decimal(18,0)") + line
+            return (doc.cast("decimal(38,0)") * F.lit(1 << self.shift).cast("decimal(18,0)") + line).cast("decimal(38,0)")
         return F.shiftleft(doc - self.low, self.shift).bitwiseOR(line.cast("long"))
 
     def unpack(self) -> list[Column]:
@@ -93,104 +98,95 @@ def _prefix(n: Column) -> Column:
     return n - F.ceil(n * F.lit(8) / F.lit(10)).cast("int") + 1
 
 
-def _overlap_needed(a: Column, b: Column) -> Column:
-    """Least intersection of sets of these sizes at similarity 0.8: 10 x >= 8 (a + b - x)."""
-    return F.ceil((a + b) * F.lit(8) / F.lit(18))
-
-
-def _index_rows(reps: DataFrame) -> DataFrame:
-    """(key, id, n, pos, mask) of each class; ``head`` holds its first prefix + 1 tokens, rarest first, ``mask`` a bit for each."""
-    p = _prefix(F.col("n"))
-    hot = F.lit(63 << 56)
-    mask = F.expr("aggregate(head, 0L, (m, t) -> m | shiftleft(1L, cast(t & 63 as int)))")
-    rows = reps.select("id", "n", "head", mask.alias("mask"), F.posexplode(F.slice("head", F.lit(1), p)).alias("pos", "t"))
-    others = F.filter("head", lambda o: o != F.col("t"))
-    keys = F.when(F.col("t") < hot, F.array("t")).otherwise(F.transform(others, lambda o: F.xxhash64(F.least(F.col("t"), o), F.greatest(F.col("t"), o))))
-    return rows.select("id", "n", "mask", "pos", (F.col("t") >= hot).alias("paired"), F.explode(keys).alias("key")).select(
-        "key", "id", "n", F.when(F.col("paired"), -1).otherwise(F.col("pos")).cast("int").alias("pos"), "mask"
-    )
-
-
-def _possible(a: str, b: str) -> Column:
-    """Length filter; positional filter for single tokens as the first that the two share; and a count of what heads share.
-
-    Of the first h tokens of either set, at least h - max(sizes) + needed overlap are in both heads. Heads are compared by
-    64-bit masks, in which tokens of one head may fall together: as many as its size exceeds its bits are let pass."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    need = _overlap_needed(na, nb)
-    room = 1 + F.least(na - 1 - F.col(f"{a}.pos"), nb - 1 - F.col(f"{b}.pos"))
-    fits = (10 * na >= 8 * nb) & (10 * nb >= 8 * na)
-    ha, hb = (F.least(_prefix(n) + 1, n) for n in (na, nb))
-    ma, mb = F.col(f"{a}.mask"), F.col(f"{b}.mask")
-    shared = F.bit_count(ma.bitwiseAND(mb)) >= F.least(ha, hb) - F.greatest(na, nb) + need - (ha - F.bit_count(ma))
-    return fits & shared & ((F.col(f"{a}.pos") < 0) | (F.col(f"{b}.pos") < 0) | (room >= need))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, ids: _Ids) -> DataFrame:
-    """Of pairs(id, other), those whose full sets reach the threshold."""
-    need = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct().select(*ids.unpack())
-    by_doc = materialize(need.groupBy("doc_id").agg(F.collect_set("line_no").alias("want")), "need")
-    parts = F.split("text", "\n", -1)
-    found = docs.join(checked_broadcast(by_doc, "want"), "doc_id").select("doc_id", F.explode("want").alias("line_no"), parts.alias("parts"))
-    found = found.select("doc_id", "line_no", _tokens(F.get("parts", "line_no")).alias("tok"))
-    sets = found.select(ids.pack().alias("id"), F.transform("tok", _hash).alias("set")).dropDuplicates(["id"])
-    sets = materialize(sets, "sets")
-    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("set").alias("oset")), "other")
-    common = F.size(F.array_intersect("set", "oset"))
-    return both.filter(10 * common >= 8 * (F.size("set") + F.size("oset") - common)).select("id", "other")
+def _index_rows(classes: DataFrame, levels: Column) -> DataFrame:
+    """(key, id, n, at, mask, half) of classes(id, n, mask, half, done, h). ``at`` holds the position in the prefix, -1 for paired
+    tokens, and, in its lowest bit, whether the class has stopped looking."""
+    hot, p = _long(HOT_LEVEL << 56), _prefix(F.col("n"))
+    keys = F.transform("h", lambda t: F.get(levels, t.bitwiseAND(_long(BUCKETS - 1)).cast("int")).bitwiseOR(t.bitwiseAND(_long((1 << 56) - 1))))
+    heads = classes.select("id", "n", "mask", "half", "done", F.slice(F.sort_array(keys), F.lit(1), F.least(p + 1, F.col("n"))).alias("head"))
+    rows = heads.select("id", "n", "mask", "half", "done", "head", F.posexplode_outer(F.slice("head", F.lit(1), p)).alias("pos", "t"))
+    pairs = F.transform(F.filter("head", lambda o: o != F.col("t")), lambda o: F.xxhash64(F.least(F.col("t"), o), F.greatest(F.col("t"), o)))
+    at = F.when(F.col("t") < hot, F.col("pos")).otherwise(-1) * 2 + F.col("done")
+    return rows.select(F.explode_outer(F.when(F.col("t") < hot, F.array("t")).otherwise(pairs)).alias("key"), "id", "n", at.alias("at"), "mask", "half")
+
+
+def _possible(positions: bool) -> Column:
+    """Of rows a and b: length filter, difference of the sets by their parity bits and, with ``positions``, the positional
+    filter for single tokens as the first that the two share."""
+    na, nb = F.col("a.n"), F.col("b.n")
+    need = F.ceil((na + nb) * F.lit(8) / F.lit(18))  # 10 x >= 8 (na + nb - x)
+    all_, half = (F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}")) for x in ("mask", "half"))
+    apart = F.when((na > WIDE) & (nb > WIDE), F.bit_count(half) + F.bit_count(all_.bitwiseXOR(half))).otherwise(F.bit_count(all_))
+    fits = (10 * na >= 8 * nb) & (10 * nb >= 8 * na) & (apart <= na + nb - 2 * need)
+    if not positions:
+        return fits
+    pa, pb = (F.shiftright(F.col(f"{x}.at"), 1) for x in "ab")
+    return fits & ((pa < 0) | (pb < 0) | (1 + F.least(na - 1 - pa, nb - 1 - pb) >= need))
+
+
+def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ids of a written table pairs(id, other) whose full sets reach the threshold with an ``other``."""
+    need = materialize(pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct(), "need")
+    sets = materialize(lines.select("id", "h").join(checked_broadcast(need), "id", "left_semi"), "sets")
+    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("h").alias("o")), "other")
+    common = F.size(F.array_intersect("h", "o"))
+    return both.filter(10 * common >= 8 * (F.size("h") + F.size("o") - common)).select("id").distinct()
+
+
+def _by_leads(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """Ids of classes found similar to a lead: in each round the first class of a key that no round has resolved or led."""
+    ends = [("h", 0, 1, 1), ("h", -1, -2, 2)]
+    at = lambda k: F.get("h", F.lit(k) if k >= 0 else F.size("h") + k)
+    rows = classes.select("id", "n", "mask", "half", F.explode_outer(F.array(*[F.xxhash64(at(i), at(j), F.lit(side)) for _, i, j, side in ends])).alias("key"))
+    found = None
+    for k in range(ROUNDS):
+        leads = rows.groupBy("key").agg(F.min("id").alias("id"), F.min_by("n", "id").alias("n"), F.min_by("mask", "id").alias("mask"), F.min_by("half", "id").alias("half"), F.count("*").alias("rows")).filter("rows > 1")
+        met = (F.col("a.key") == F.col("b.key")) & (F.col("b.id") < F.col("a.id")) & _possible(False)
+        pairs = rows.alias("a").join(leads.alias("b"), met).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
+        near = materialize(_verified(lines, materialize(pairs, "led")), "near")
+        found = near if found is None else found.unionByName(near)
+        seen, won = rows.count(), near.count()
+        if k + 1 == ROUNDS or won * WORTH < seen or not won:
+            break
+        led = leads.select("key", "id")
+        rows = materialize(rows.join(leads.select("key"), "key", "left_semi").join(led, ["key", "id"], "left_anti").join(near, "id", "left_anti"), "unled")
+    return found
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, line_no) of the lines to remove."""
-    levels = _class_table(docs)
-    sorted_tok = _lines(docs).filter(F.size("tok") > 0).select("doc_id", "line_no", _by_rarity(F.col("tok"), levels).alias("a"))
-    n = F.size("a")
-    lines = sorted_tok.select(
-        "doc_id", "line_no", n.alias("n"), F.xxhash64("a").alias("s1"), F.hash("a").alias("s2"),
-        F.when(n >= 4, F.slice("a", F.lit(1), F.least(_prefix(n) + 1, n))).alias("head"),
-    )
-    lines = materialize(lines, "lines")
+    lines = materialize(_lines(docs), "lines", compression="zstd", **{"parquet.dictionary.page.size": 16 << 20})
     ids = _Ids(*lines.agg(F.min("doc_id"), F.max("doc_id"), F.max("line_no")).first())
-    lines = lines.select(ids.pack().alias("id"), "n", "s1", "s2", "head")
-    firsts = materialize(with_group_min(lines.select("id", "n", "s1", "s2"), ["n", "s1", "s2"], "id", "first", by="id").select("id", "first"), "firsts")
-    copies = firsts.filter(F.col("id") != F.col("first")).select("id")
+    lines = lines.filter("n > 0").select(ids.pack().alias("id"), "n", "s1", "s2", "mask", "half", "h")
+    firsts = materialize(lines.groupBy("n", "s1", "s2").agg(F.min("id").alias("id")).select("id"), "firsts")
+    copies = materialize(lines.select("id").join(firsts, "id", "left_anti").distinct(), "copies")
     # Sets of up to three tokens are similar to equal sets only.
-    reps = lines.filter("head is not null").select("id", "n", "head").join(firsts.filter(F.col("id") == F.col("first")).select("id").distinct(), "id")
-    rows = _index_rows(reps)
-    shared = rows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter(F.col("lead") != F.col("last")).select("key", "lead")
-    index = materialize(rows.join(shared, "key"), "index")
-    lead = index.filter(F.col("id") == F.col("lead")).groupBy("key").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("mask").alias("mask"))
-    a, b = index.filter(F.col("id") != F.col("lead")).alias("a"), lead.alias("b")
-    tried = a.join(b, (F.col("a.key") == F.col("b.key")) & _possible("a", "b")).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
-    tried = materialize(tried, "tried")
-    near = materialize(_verified(docs, tried, ids).select("id").distinct(), "near")
-
-    a = index.filter(F.col("id") != F.col("lead")).join(near, "id", "left_anti").alias("a")
-    b = index.filter(F.col("id") != F.col("lead")).alias("b")
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("b.id") < F.col("a.id")) & _possible("a", "b")).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
-    rest = materialize(rest.join(tried, ["id", "other"], "left_anti"), "rest")
-    late = _verified(docs, rest, ids).select("id")
-
-    # All lines of a class go with its first line.
-    gone = near.unionByName(late).distinct().select(F.col("id").alias("first"))
-    other = firsts.filter(F.col("id") == F.col("first")).select("id", "first").join(gone, "first", "left_semi").select("id")
-    return copies.unionByName(other).distinct().select(*ids.unpack())
+    classes = lines.filter("n >= 4").join(checked_broadcast(copies), "id", "left_anti")
+    near = materialize(_by_leads(lines, classes).distinct(), "near")
+
+    done = classes.join(checked_broadcast(near.withColumn("done", F.lit(1))), "id", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    rows = _index_rows(done, _levels(lines))
+    # One exchange serves both sides: what tells them apart is in the condition, which names the same columns of both.
+    later = (F.col("a.id") - F.col("b.id")) * (1 - F.col("a.at").bitwiseAND(F.lit(1))) > F.shiftright(F.col("b.at").bitwiseAND(F.lit(1)), 1)
+    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & later & _possible(True)).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))
+    near = near.unionByName(_verified(lines, materialize(pairs.distinct(), "pairs")))
+    return lines.select("id").join(firsts.join(near, "id", "left_anti"), "id", "left_anti").select(*ids.unpack())
 
 
 def dedup_lines(docs: DataFrame, text_out: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with similar later lines removed from ``text``; with ``counts``, also n_lines and n_removed."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    gone = removed_lines(plain).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
-    gone = materialize(gone, "gone")
-    rows = docs.join(checked_broadcast(gone, "_gone"), docs["doc_id"].cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
-    parts = F.split(F.col("text").cast("string"), "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("_gone", i))
-    new = {text_out: F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))}
+    of, list_ = fresh(docs.columns, "gone_id", "gone")
+    gone = materialize(removed_lines(plain).groupBy(F.col("doc_id").alias(of)).agg(F.sort_array(F.collect_set("line_no")).alias(list_)), "gone")
+    rows = docs.join(checked_broadcast(gone, list_), F.col("doc_id").cast("long") == F.col(of), "left")
+    text = F.col("text").cast("string")
+    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(list_, i))
+    new = {text_out: F.when(F.col(list_).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))}
     if counts:
-        new["n_lines"] = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
-        new["n_removed"] = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")
-    out = rows.withColumns(new)
-    return out.drop("_gone")
+        feeds = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+        new["n_lines"] = F.when(text.isNull(), 0).otherwise(feeds + 1).cast("long")
+        new["n_removed"] = F.when(F.col(list_).isNull(), 0).otherwise(F.size(list_)).cast("long")
+    return rows.withColumns(new).drop(of, list_)
 
 
 SQL = r"""
