@@ -9,7 +9,7 @@ repeated: within equal ids the order is that of line numbers, and all such rows
 Null ids come through unchanged. An empty table gives an empty result. Extra columns pass through, whatever their names;
 with ``counts``, columns named n_lines and n_removed are replaced.
 
-Method. Each line is parsed once: its sorted token hashes (64 bits) are written, and all further steps read them. Lines of
+Method. Each line is parsed once: its sorted token hashes (63 bits and one for long words) are written, and all further steps read them. Lines of
 equal sets are one class, kept by its first line. Tokens are ordered by rarity: by their count over all lines in 32,768
 hashed buckets, on a scale of a quarter octave, then by hash; the table is of fixed size, and any total order is valid for
 prefix filters. A class puts its first n - ceil(0.8 n) + 1 tokens (its prefix) into an index; a token of a very frequent
@@ -17,7 +17,7 @@ bucket is paired with each other token of the prefix that is one longer, in whic
 
 Rows of the index meet by key, a later with an earlier one, under the length and positional filters and a bound on the
 sets' difference: 64 or 128 parity bits a set differ in at most as many places as the sets do. Before that, classes meet the
-earliest class that shares their two least or two greatest hashes, in rounds; those that this resolves look no further, so
+earliest class that shares a pair of neighbours among their first hashes (long words first), and then the leads of many; those that this resolves look no further, so
 a large group of variants does not make all its pairs. What passes is verified on full sets.
 """
 
@@ -37,10 +37,12 @@ HOT_SHARE = 1 / 2000
 HOT_LEVEL = 127
 #: Sets of more tokens are compared by 128 parity bits instead of 64.
 WIDE = 64
-#: Rounds of leads at most; what they leave goes to the index, which finds every pair.
-ROUNDS = 4
-#: A further round pays if the last one resolved one row in so many.
-WORTH = 20
+#: Words of so many characters count as long.
+LONG = 7
+#: Pairs of neighbouring token hashes, from the first on, that find a class its lead; classes have four tokens or more.
+LEADS = 2
+#: A lead of so many is also compared with all classes that share one of its first FEW token hashes.
+MANY, FEW = 8, 8
 
 
 def _long(x: int) -> Column:
@@ -53,7 +55,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     odd = reduce(lambda a, b: a | b, [F.col("text").contains(x) for x in "\t\r\x0b\x0c"])
     flat = docs.select("doc_id", F.lower(F.when(odd, F.translate("text", "\t\r\x0b\x0c", "    ")).otherwise(F.col("text"))).alias("text"))
     lines = flat.select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
-    hashes = F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    # Long words, which are rarer, get negative numbers, so that they stand first.
+    token = lambda w: F.when(F.length(w) >= LONG, F.xxhash64(w).bitwiseOR(_long(-1 << 63))).otherwise(F.xxhash64(w).bitwiseAND(_long((1 << 63) - 1)))
+    hashes = F.array_remove(F.transform(F.split("line", " "), token), token(F.lit("")))
     lines = lines.select("doc_id", "line_no", F.sort_array(F.array_distinct(hashes)).alias("h"))
     flip = F.aggregate("h", _long(0), lambda m, t: m.bitwiseXOR(F.call_function("shiftleft", _long(1), t.bitwiseAND(_long(63)).cast("int"))))
     half = F.aggregate("h", _long(0), lambda m, t: m.bitwiseXOR(F.call_function("shiftleft", F.shiftright(t, 6).bitwiseAND(_long(1)), t.bitwiseAND(_long(63)).cast("int"))))
@@ -104,10 +108,16 @@ def _index_rows(classes: DataFrame, levels: Column) -> DataFrame:
     hot, p = _long(HOT_LEVEL << 56), _prefix(F.col("n"))
     keys = F.transform("h", lambda t: F.get(levels, t.bitwiseAND(_long(BUCKETS - 1)).cast("int")).bitwiseOR(t.bitwiseAND(_long((1 << 56) - 1))))
     heads = classes.select("id", "n", "mask", "half", "done", F.slice(F.sort_array(keys), F.lit(1), F.least(p + 1, F.col("n"))).alias("head"))
-    rows = heads.select("id", "n", "mask", "half", "done", "head", F.posexplode_outer(F.slice("head", F.lit(1), p)).alias("pos", "t"))
-    pairs = F.transform(F.filter("head", lambda o: o != F.col("t")), lambda o: F.xxhash64(F.least(F.col("t"), o), F.greatest(F.col("t"), o)))
-    at = F.when(F.col("t") < hot, F.col("pos")).otherwise(-1) * 2 + F.col("done")
-    return rows.select(F.explode_outer(F.when(F.col("t") < hot, F.array("t")).otherwise(pairs)).alias("key"), "id", "n", at.alias("at"), "mask", "half")
+    # Paired tokens are the greatest: they stand last in a prefix, and so do their pairs.
+    plain = F.size(F.filter("head", lambda t: t < hot))
+    pairs = F.flatten(F.transform(F.slice("head", plain + 1, p - plain), lambda t: F.transform(F.filter("head", lambda o: o != t), lambda o: F.xxhash64(F.least(t, o), F.greatest(t, o)))))
+    cold = F.get("head", p - 1) < hot
+    rows = heads.select(
+        "id", "n", "mask", "half", "done", F.when(cold, p).otherwise(plain).alias("plain"),
+        F.posexplode_outer(F.when(cold, F.slice("head", F.lit(1), p)).otherwise(F.concat(F.slice("head", F.lit(1), plain), pairs))).alias("pos", "key"),
+    )
+    at = F.when(F.col("pos") < F.col("plain"), F.col("pos")).otherwise(-1) * 2 + F.col("done")
+    return rows.select("key", "id", "n", at.alias("at"), "mask", "half")
 
 
 def _possible(positions: bool) -> Column:
@@ -125,37 +135,35 @@ def _possible(positions: bool) -> Column:
 
 
 def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ids of a written table pairs(id, other) whose full sets reach the threshold with an ``other``."""
+    """Of a written table pairs(id, other), those whose full sets reach the threshold."""
     need = materialize(pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct(), "need")
     sets = materialize(lines.select("id", "h").join(checked_broadcast(need), "id", "left_semi"), "sets")
     both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("h").alias("o")), "other")
     common = F.size(F.array_intersect("h", "o"))
-    return both.filter(10 * common >= 8 * (F.size("h") + F.size("o") - common)).select("id").distinct()
+    return both.filter(10 * common >= 8 * (F.size("h") + F.size("o") - common)).select("id", "other")
 
 
 def _by_leads(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """Ids of classes found similar to a lead: in each round the first class of a key that no round has resolved or led."""
-    ends = [("h", 0, 1, 1), ("h", -1, -2, 2)]
-    at = lambda k: F.get("h", F.lit(k) if k >= 0 else F.size("h") + k)
-    rows = classes.select("id", "n", "mask", "half", F.explode_outer(F.array(*[F.xxhash64(at(i), at(j), F.lit(side)) for _, i, j, side in ends])).alias("key"))
-    found = None
-    for k in range(ROUNDS):
-        leads = rows.groupBy("key").agg(F.min("id").alias("id"), F.min_by("n", "id").alias("n"), F.min_by("mask", "id").alias("mask"), F.min_by("half", "id").alias("half"), F.count("*").alias("rows")).filter("rows > 1")
-        met = (F.col("a.key") == F.col("b.key")) & (F.col("b.id") < F.col("a.id")) & _possible(False)
-        pairs = rows.alias("a").join(leads.alias("b"), met).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
-        near = materialize(_verified(lines, materialize(pairs, "led")), "near")
-        found = near if found is None else found.unionByName(near)
-        seen, won = rows.count(), near.count()
-        if k + 1 == ROUNDS or won * WORTH < seen or not won:
-            break
-        led = leads.select("key", "id")
-        rows = materialize(rows.join(leads.select("key"), "key", "left_semi").join(led, ["key", "id"], "left_anti").join(near, "id", "left_anti"), "unled")
-    return found
+    """Ids of classes found similar to a lead, the first class of a key; then to a lead that many were similar to."""
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("b.id") < F.col("a.id")) & _possible(False)
+    ends = F.col("a.id").alias("id"), F.col("b.id").alias("other")
+    pair = lambda k: F.xxhash64(F.get("h", F.lit(k)), F.get("h", F.lit(k + 1)))
+    rows = classes.select("id", "n", "mask", "half", F.explode_outer(F.array(*[pair(k) for k in range(LEADS)])).alias("key"))
+    leads = rows.groupBy("key").agg(F.min("id").alias("id"), F.min_by("n", "id").alias("n"), F.min_by("mask", "id").alias("mask"), F.min_by("half", "id").alias("half"), F.count("*").alias("rows")).filter("rows > 1")
+    led = materialize(_verified(lines, materialize(rows.alias("a").join(leads.alias("b"), same).select(*ends).distinct(), "led")), "near")
+    near = led.select("id").distinct()
+
+    many = materialize(led.groupBy(F.col("other").alias("id")).count().filter(F.col("count") >= MANY).select("id"), "many")
+    tokens = F.explode_outer(F.slice("h", 1, FEW)).alias("key")
+    big = materialize(classes.join(checked_broadcast(many), "id", "left_semi").select("id", "n", "mask", "half", tokens), "big")
+    left = classes.join(checked_broadcast(materialize(near, "led")), "id", "left_anti").select("id", "n", "mask", "half", tokens)
+    met = materialize(left.alias("a").join(checked_broadcast(big).alias("b"), same).select(*ends).distinct(), "met")
+    return near.unionByName(_verified(lines, met).select("id").distinct())
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, line_no) of the lines to remove."""
-    lines = materialize(_lines(docs), "lines", compression="zstd", **{"parquet.dictionary.page.size": 16 << 20})
+    lines = materialize(_lines(docs), "lines", **{"parquet.dictionary.page.size": 16 << 20})
     ids = _Ids(*lines.agg(F.min("doc_id"), F.max("doc_id"), F.max("line_no")).first())
     lines = lines.filter("n > 0").select(ids.pack().alias("id"), "n", "s1", "s2", "mask", "half", "h")
     firsts = materialize(lines.groupBy("n", "s1", "s2").agg(F.min("id").alias("id")).select("id"), "firsts")
@@ -169,7 +177,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # One exchange serves both sides: what tells them apart is in the condition, which names the same columns of both.
     later = (F.col("a.id") - F.col("b.id")) * (1 - F.col("a.at").bitwiseAND(F.lit(1))) > F.shiftright(F.col("b.at").bitwiseAND(F.lit(1)), 1)
     pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & later & _possible(True)).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))
-    near = near.unionByName(_verified(lines, materialize(pairs.distinct(), "pairs")))
+    near = near.unionByName(_verified(lines, materialize(pairs.distinct(), "pairs")).select("id"))
     return lines.select("id").join(firsts.join(near, "id", "left_anti"), "id", "left_anti").select(*ids.unpack())
 
 

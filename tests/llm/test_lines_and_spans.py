@@ -1,9 +1,9 @@
 import random
 
-from helpers import frame, odd_rows, sentence
+from helpers import frame, odd_rows, sentence, words
 from pyspark.sql import functions as F
 
-from skysift.llm import spandedup
+from skysift.llm import common, spandedup
 from skysift.llm.linededup import dedup_lines
 
 
@@ -38,9 +38,28 @@ def test_lines_match_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+def test_lines_with_many_variants_and_wide_ids(spark):
+    rng = random.Random(4)
+    rows, bases = [], [words(rng, 30) for _ in range(3)]
+    for k in range(400):
+        w = list(bases[k % 3])
+        for _ in range(rng.choice([0, 1, 2, 4, 6])):
+            w[rng.randrange(len(w))] = rng.choice(["of", "the", "new%d" % k, "edit%d" % (k % 5)])
+        rows.append(((1 << 62) * rng.choice([-1, 1]) + k, " ".join(w) + "\n" + " ".join(["the", "of", "a", "in", "%d" % (k % 7)]), None, None, 1))
+    got = {r.doc_id: r.text for r in dedup_lines(frame(spark, rows)).collect()}
+    assert got == brute_lines(rows)
+
+
+def test_lines_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rows = line_rows()
+    got = {r.doc_id: r.text for r in dedup_lines(frame(spark, rows)).collect()}
+    assert got == brute_lines(rows)
+
+
 def test_lines_edges(spark):
     assert dedup_lines(frame(spark, [])).count() == 0
-    extra = frame(spark, line_rows()[:3]).withColumns({"_salt": F.lit(1), "key": F.lit("k"), "id": F.lit(2)})
+    extra = frame(spark, line_rows()[:3]).withColumns({"gone": F.lit(1), "gone_id": F.lit("k"), "id": F.lit(2), "line_no": F.lit(3), "h": F.lit(4)})
     assert dedup_lines(extra).columns == extra.columns
     twice = dedup_lines(frame(spark, [(1, "a b c\nx", None, None, 1), (1, "a b c\nx", None, None, 1), (None, "a b c", None, None, 1)])).collect()
     assert len(twice) == 3 and [r.text for r in twice if r.doc_id is None] == ["a b c"]
