@@ -465,6 +465,11 @@ def points_from(table: pa.Table) -> Points:
     return Points.build(**{k: table.column(c).to_numpy() for k, c in COLUMNS.items()})
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key over all shuffle partitions: kernels are slow for their bytes, so small partitions must not be merged."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 TRACKS = "session_id string, track_id int, kind string, ord int, det_id long"
 
 
@@ -487,7 +492,7 @@ def timed_tracks(detections: DataFrame, frames: int, config: DetectionConfig = D
         rows = [(t, o, d) for t, c in enumerate(kept) for o, d in enumerate(c)]
         return pa.table({"session_id": pa.array([key[0].as_py()] * len(rows), pa.string()), "track_id": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array(["timed"] * len(rows), pa.string()), "ord": pa.array([r[1] for r in rows], pa.int32()), "det_id": pa.array([r[2] for r in rows], pa.int64())})
 
-    found = own.groupBy("session_id", "_part").applyInArrow(propose, "session_id string, gen int, gen2 int, chain array<long>, score double, first int")
+    found = _dealt(own, "session_id", "_part").groupBy("session_id", "_part").applyInArrow(propose, "session_id string, gen int, gen2 int, chain array<long>, score double, first int")
     return found.groupBy("session_id").applyInArrow(choose, TRACKS)
 
 
@@ -499,4 +504,4 @@ def geometric_tracks_of(detections: DataFrame, frames: int, config: DetectionCon
         rows = [(t, o, int(p.det_id[k])) for t, c in enumerate(geometric_tracks(p, frames, config, set(), [])) for o, k in enumerate(c)]
         return pa.table({"session_id": pa.array([key[0].as_py()] * len(rows), pa.string()), "track_id": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array(["geometric"] * len(rows), pa.string()), "ord": pa.array([r[1] for r in rows], pa.int32()), "det_id": pa.array([r[2] for r in rows], pa.int64())})
 
-    return detections.groupBy("session_id").applyInArrow(run, TRACKS)
+    return _dealt(detections, "session_id").groupBy("session_id").applyInArrow(run, TRACKS)

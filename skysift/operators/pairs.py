@@ -13,21 +13,15 @@ from ..functions import columns as c
 GATED = ["frame", "det_id", "x", "y", "flux", "area", "fwhm", "ts_ms", "exposure_ms"]
 
 
-def _sides(detections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    d = detections.select(*GATED)
-    return tuple(d.select(*[F.col(k).alias(f"{k}{n}") for k in GATED]) for n in (1, 2))
-
-
-def baseline_codes(detections: DataFrame, config: DetectionConfig, frame_gap: int | None = None) -> DataFrame:
-    """Every pair of detections of two frames (later than the first, within ``frame_gap`` if given) with a code: the first
-    gate that fails (dt, jitter, profile, exposure) or ok. Frames are joined by equality: a first point is sent to each
-    later frame, so the join is a hash join and never compares all rows with all."""
-    a, b = _sides(detections)
-    frames = detections.select("frame").distinct().agg(F.max("frame").alias("last"))
-    last = frames.first()["last"]
-    upto = F.least(F.lit(last), F.col("frame1") + frame_gap) if frame_gap else F.lit(last)
-    a = a.filter(F.col("frame1") < last).withColumn("frame2", F.explode(F.sequence(F.col("frame1") + 1, upto)))
-    p = a.join(b, "frame2")
+def baseline_codes(detections: DataFrame, config: DetectionConfig, frame_gap: int | None = None, session: str = "session") -> DataFrame:
+    """Every pair of detections of two frames of a session (later than the first, within ``frame_gap`` if given) with a code:
+    the first gate that fails (dt, jitter, profile, exposure) or ok. Frames are joined by equality: a first point is sent to
+    each later frame that its session has, so the join is a hash join and never compares all rows with all."""
+    a, b = (detections.select(session, *[F.col(k).alias(f"{k}{n}") for k in GATED]) for n in (1, 2))
+    last = detections.groupBy(session).agg(F.max("frame").alias("last"))
+    upto = F.least(F.col("last"), F.col("frame1") + frame_gap) if frame_gap else F.col("last")
+    a = a.join(last, session).filter("frame1 < last").withColumn("frame2", F.explode(F.sequence(F.col("frame1") + 1, upto))).drop("last")
+    p = a.join(b, [session, "frame2"])
     dt = (F.col("ts_ms2") - F.col("ts_ms1")).cast("double")
     dist = c.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     p = p.withColumns({"dt": dt, "dist": dist})

@@ -67,7 +67,7 @@ def session_thresholds(metrics: DataFrame, keys: list[str], config: DetectionCon
 
 def reject_frames(metrics: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
     """``metrics`` with is_rejected and reason; the first rule that fails names it. Limits are one row a session."""
-    m = metrics.join(F.broadcast(limits), keys, "left")
+    m = metrics.join(limits, keys, "left")
     reason = (
         F.when(F.col("stars") < F.col("min_stars"), REASONS["stars"])
         .when(F.col("fwhm") > F.col("max_fwhm"), REASONS["fwhm"])

@@ -19,8 +19,9 @@ def tuner_radius(jitter: float) -> int:
     return math.ceil(jitter)
 
 
-def dilated_mask(pixels: DataFrame, keys: list[str], radius: int, width: int, height: int) -> DataFrame:
-    """Distinct (keys, y, x) within ``radius`` of any given pixel (integer disc), clipped to the sensor."""
+def dilated_mask(pixels: DataFrame, keys: list[str], radius: int, width: int | str, height: int | str) -> DataFrame:
+    """Distinct (keys, y, x) within ``radius`` of any given pixel (integer disc), clipped to the sensor; ``width`` and ``height``
+    are numbers, or key columns where sessions differ in size."""
     disc = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dx * dx + dy * dy <= radius * radius]
     shifts = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in disc])
     moved = pixels.select(*keys, "y", "x").distinct().withColumn("s", F.explode(shifts)).select(*keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
@@ -73,7 +74,7 @@ def slow_mover_verdicts(candidates: DataFrame, limits: DataFrame, keys: list[str
     verdict = F.when(F.col("elongation") < F.col("threshold"), "elongation").when(F.col("overlap") < lo, "low_support").when(F.col("overlap") > hi, "high_support")
     if config.enable_slow_mover_residual_footprint_filtering:
         verdict = verdict.when(F.coalesce("fraction", F.lit(0.0)) < least, "residual")
-    return candidates.join(F.broadcast(limits.select(*keys, "threshold")), keys).withColumn("verdict", verdict.otherwise("accepted"))
+    return candidates.join(limits.select(*keys, "threshold"), keys).withColumn("verdict", verdict.otherwise("accepted"))
 
 
 def slow_mover_summary(verdicts: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -173,13 +173,16 @@ def extract_sources(image: np.ndarray, seed_sigma: float, min_pixels: int, confi
 
 
 def extract(rows: DataFrame, seed_sigma: float, min_pixels: int, config: DetectionConfig) -> DataFrame:
-    """Row-layout frames (session_id, seq_index, y, px) -> one row per source, with its footprint. One task holds one frame."""
+    """Row-layout frames (session_id, seq_index, y, px[, void_radius]) -> one row per source, with its footprint. One task holds
+    one frame. A column ``void_radius`` goes before the configuration's radius."""
+    own = ["void_radius"] if "void_radius" in rows.columns else []
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("y").to_numpy())
         px = table.column("px").to_pylist()
         image = np.array([px[i] for i in order], np.int64)
-        found, median, sigma = extract_sources(image, seed_sigma, min_pixels, config)
+        radius = table.column("void_radius")[0].as_py() if own else config.void_proximity_radius
+        found, median, sigma = extract_sources(image, seed_sigma, min_pixels, replace(config, void_proximity_radius=radius))
         names = [f.split()[0] for f in FIELDS.split(", ")]
         kinds = [pa.int32(), *[pa.float64()] * 9, pa.bool_()]
         n = len(found)
@@ -190,7 +193,7 @@ def extract(rows: DataFrame, seed_sigma: float, min_pixels: int, config: Detecti
         cols["footprint"] = pa.array([[{"x": int(x), "y": int(y), "v": int(v)} for x, y, v in zip(s.xs, s.ys, s.vs, strict=True)] for s in found], shape)
         return pa.table(cols)
 
-    return rows.select("session_id", "seq_index", "y", "px").groupBy("session_id", "seq_index").applyInArrow(run, SOURCES)
+    return rows.select("session_id", "seq_index", "y", "px", *own).groupBy("session_id", "seq_index").applyInArrow(run, SOURCES)
 
 
 def label_native(pixels: DataFrame, keys: list[str], rounds: int = 64) -> DataFrame:

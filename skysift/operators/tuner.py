@@ -87,13 +87,13 @@ def reciprocal_matches(stars: DataFrame, objects: DataFrame, radius: float) -> D
     return found.withColumns({"a": mine, "b": theirs}).filter("a = 1 and b = 1").drop("a", "b")
 
 
-def jitter_from(matches: DataFrame, s: TunerSettings = TunerSettings()) -> DataFrame:
-    """One row (matches, jitter): the scaled percentile by index, at least the floor; the fallback with few matches."""
-    d = matches.agg(F.array_sort(F.collect_list("dist")).alias("d"))
+def jitter_from(matches: DataFrame, s: TunerSettings = TunerSettings(), keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, matches, jitter): the scaled percentile by index, at least the floor; the fallback with few matches."""
+    d = matches.groupBy(*keys).agg(F.array_sort(F.collect_list("dist")).alias("d"))
     n = F.size("d")
     at = F.get("d", F.floor(F.lit(s.jitter_percentile) * (n - 1) + 0.5).cast("int"))
     value = F.when(n < s.probe_matches, max(s.jitter_floor, s.jitter_fallback)).otherwise(F.greatest(F.lit(s.jitter_floor), at * s.jitter_safety))
-    return d.select(n.alias("matches"), value.alias("jitter"))
+    return d.select(*keys, n.alias("matches"), value.alias("jitter"))
 
 
 def grid(spark: SparkSession, master_sigma: float = 2.25, s: TunerSettings = TunerSettings()) -> DataFrame:

@@ -331,7 +331,7 @@ def frame_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MASK = f"""{_STACK}, star AS (SELECT y, x FROM stk WHERE median > 60), disc AS (SELECT a.range AS dy, b.range AS dx FROM range(-2, 3) a, range(-2, 3) b WHERE a.range * a.range + b.range * b.range <= 4),
 mask AS (SELECT DISTINCT CAST(y + dy AS INTEGER) AS y, CAST(x + dx AS INTEGER) AS x FROM star, disc WHERE y + dy BETWEEN 0 AND 63 AND x + dx BETWEEN 0 AND 63)"""
-_PATCH = f"""{d.DETECTIONS}, place AS (SELECT frame, det_id, elongation, elongation > 3.5 AS is_streak, CAST(det_id * 7 % 66 - 1 AS INTEGER) AS cx, CAST(det_id * 13 % 66 - 1 AS INTEGER) AS cy FROM det),
+_PATCH = f"""{d.DETECTIONS}, place AS (SELECT session, frame, det_id, elongation, elongation > 3.5 AS is_streak, CAST(det_id * 7 % 66 - 1 AS INTEGER) AS cx, CAST(det_id * 13 % 66 - 1 AS INTEGER) AS cy FROM det),
 foot AS (SELECT frame, det_id, CAST(cy + oy AS INTEGER) AS y, CAST(cx + ox AS INTEGER) AS x FROM place, (VALUES (-1), (0), (1)) a(oy), (VALUES (-1), (0), (1)) b(ox))"""
 _OVER = f"{_MASK}, {_PATCH}, ov AS (SELECT f.det_id, count(m.y) / count(*)::DOUBLE AS overlap FROM foot f LEFT JOIN mask m ON m.y = f.y AND m.x = f.x GROUP BY f.det_id)"
 
@@ -343,7 +343,7 @@ def _mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     cx, cy = (F.col("det_id") * 7 % 66 - 1).cast("int"), (F.col("det_id") * 13 % 66 - 1).cast("int")
     spots = F.array(*[F.struct((cx + i).alias("x"), (cy + j).alias("y"), F.lit(0).alias("v")) for j in (-1, 0, 1) for i in (-1, 0, 1)])
-    return d.detections(spark, sf_dir).select("frame", "det_id", "elongation", (F.col("elongation") > 3.5).alias("is_streak"), spots.alias("footprint"))
+    return d.detections(spark, sf_dir).select(F.col("session").alias("session_id"), "frame", "det_id", "elongation", (F.col("elongation") > 3.5).alias("is_streak"), spots.alias("footprint"))
 
 
 def _overlaps(spark: SparkSession, sf_dir: str, bounds: tuple[int, int] | None = None) -> DataFrame:
@@ -397,11 +397,11 @@ def unclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Slow movers.
 
-_SLOW = f"""{_OVER}, e AS (SELECT list_sort(list(elongation)) AS l FROM place), e2 AS (SELECT l, l[len(l) // 2 + 1] AS med FROM e), e3 AS (SELECT len(l) AS n, med, greatest(0.1, list_sort(list_transform(l, lambda q: abs(q - med)))[len(l) // 2 + 1]) AS mad FROM e2),
-thr AS (SELECT n, med, mad, CASE WHEN n >= 10 THEN med + mad * 0.5 ELSE 3.0 END AS threshold FROM e3),
+_SLOW = f"""{_OVER}, e AS (SELECT session, list_sort(list(elongation)) AS l FROM place GROUP BY session), e2 AS (SELECT session, l, l[len(l) // 2 + 1] AS med FROM e), e3 AS (SELECT session, len(l) AS n, med, greatest(0.1, list_sort(list_transform(l, lambda q: abs(q - med)))[len(l) // 2 + 1]) AS mad FROM e2),
+thr AS (SELECT session, n, med, mad, CASE WHEN n >= 10 THEN med + mad * 0.5 ELSE 3.0 END AS threshold FROM e3),
 rf AS (SELECT det_id, sum(greatest(slow - median, 0)) AS residual, sum(slow) AS slow_flux, sum(median) AS median_flux, count(*) AS pixels FROM foot JOIN stk USING (y, x) GROUP BY det_id),
 fr AS (SELECT *, CASE WHEN slow_flux > 0 THEN residual / slow_flux::DOUBLE ELSE 0.0 END AS fraction FROM rf),
-ver AS (SELECT p.det_id, overlap, fraction, CASE WHEN elongation < threshold THEN 'elongation' WHEN overlap < 0.1 THEN 'low_support' WHEN overlap > 0.65 THEN 'high_support' WHEN coalesce(fraction, 0.0) < 0.3 THEN 'residual' ELSE 'accepted' END AS verdict FROM place p JOIN ov USING (det_id) LEFT JOIN fr USING (det_id), thr)"""
+ver AS (SELECT p.session, p.det_id, overlap, fraction, CASE WHEN elongation < threshold THEN 'elongation' WHEN overlap < 0.1 THEN 'low_support' WHEN overlap > 0.65 THEN 'high_support' WHEN coalesce(fraction, 0.0) < 0.3 THEN 'residual' ELSE 'accepted' END AS verdict FROM place p JOIN ov USING (det_id) LEFT JOIN fr USING (det_id) JOIN thr ON thr.session = p.session)"""
 _SLOW_CONFIG = DetectionConfig(slow_mover_baseline_mad_multiplier=0.5, slow_mover_median_support_overlap_fraction=0.1, slow_mover_residual_footprint_min_flux_fraction=0.3)
 
 
@@ -410,17 +410,17 @@ def _flux(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reference.elongation_limit(_patches(spark, sf_dir).withColumn("session_id", F.lit("s")), ["session_id"], _SLOW_CONFIG)
+    return reference.elongation_limit(_patches(spark, sf_dir), ["session_id"], _SLOW_CONFIG)
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _patches(spark, sf_dir).withColumn("session_id", F.lit("s")).join(_overlaps(spark, sf_dir), "det_id").join(_flux(spark, sf_dir), "det_id", "left")
+    rows = _patches(spark, sf_dir).join(_overlaps(spark, sf_dir), "det_id").join(_flux(spark, sf_dir), "det_id", "left")
     return reference.slow_mover_verdicts(rows, _limit(spark, sf_dir), ["session_id"], _SLOW_CONFIG)
 
 
-@query(f"WITH {_SLOW} SELECT CAST(n AS INTEGER) AS n, round(med, 6) AS med, round(mad, 6) AS mad, round(threshold, 6) AS threshold FROM thr")
+@query(f"WITH {_SLOW} SELECT session AS session_id, CAST(n AS INTEGER) AS n, round(med, 6) AS med, round(mad, 6) AS mad, round(threshold, 6) AS threshold FROM thr")
 def slow_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _limit(spark, sf_dir).select("n", r6("med"), r6("mad"), r6("threshold"))
+    return _limit(spark, sf_dir).select("session_id", "n", r6("med"), r6("mad"), r6("threshold"))
 
 
 @query(f"WITH {_SLOW} SELECT det_id, CAST(residual AS BIGINT) AS residual, CAST(slow_flux AS BIGINT) AS slow_flux, CAST(median_flux AS BIGINT) AS median_flux, pixels, round(fraction, 6) AS fraction FROM fr")
@@ -434,11 +434,11 @@ def slow_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_SLOW} SELECT count(*) AS raw, count(*) FILTER (WHERE verdict <> 'elongation') AS evaluated, count(*) FILTER (WHERE verdict = 'low_support') AS low_support, count(*) FILTER (WHERE verdict = 'high_support') AS high_support,
-count(*) FILTER (WHERE verdict = 'residual') AS low_residual, count(*) FILTER (WHERE verdict = 'accepted') AS accepted, round(coalesce(avg(overlap) FILTER (WHERE verdict <> 'elongation'), 0), 6) AS mean_overlap, round(coalesce(avg(fraction) FILTER (WHERE verdict = 'accepted'), 0), 6) AS mean_fraction FROM ver"""
+    f"""WITH {_SLOW} SELECT session AS session_id, count(*) AS raw, count(*) FILTER (WHERE verdict <> 'elongation') AS evaluated, count(*) FILTER (WHERE verdict = 'low_support') AS low_support, count(*) FILTER (WHERE verdict = 'high_support') AS high_support,
+count(*) FILTER (WHERE verdict = 'residual') AS low_residual, count(*) FILTER (WHERE verdict = 'accepted') AS accepted, round(coalesce(avg(overlap) FILTER (WHERE verdict <> 'elongation'), 0), 6) AS mean_overlap, round(coalesce(avg(fraction) FILTER (WHERE verdict = 'accepted'), 0), 6) AS mean_fraction FROM ver GROUP BY session"""
 )
 def slow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = reference.slow_mover_summary(_verdicts(spark, sf_dir), ["session_id"]).drop("session_id")
+    s = reference.slow_mover_summary(_verdicts(spark, sf_dir), ["session_id"])
     return s.withColumns({k: F.round(k, 6) for k in ("mean_overlap", "mean_fraction")})
 
 
@@ -446,7 +446,7 @@ def slow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LINK = DetectionConfig(max_jump_pixels=60.0)
 _PAIRS = f"""{d.DETECTIONS}, pr AS (SELECT a.frame AS frame1, b.frame AS frame2, a.det_id AS det_id1, b.det_id AS det_id2, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, CAST(b.ts_ms - a.ts_ms AS DOUBLE) AS dt, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS dist,
- greatest(a.fwhm, b.fwhm) <= 2 * least(a.fwhm, b.fwhm) AND greatest(a.flux / a.area, b.flux / b.area) / least(a.flux / a.area, b.flux / b.area) <= 2 AS alike, a.exposure_ms AS e1, a.area AS area1 FROM det a JOIN det b ON b.frame > a.frame),
+ greatest(a.fwhm, b.fwhm) <= 2 * least(a.fwhm, b.fwhm) AND greatest(a.flux / a.area, b.flux / b.area) / least(a.flux / a.area, b.flux / b.area) <= 2 AS alike, a.exposure_ms AS e1, a.area AS area1 FROM det a JOIN det b ON b.session = a.session AND b.frame > a.frame),
 coded AS (SELECT *, CASE WHEN dt <= 0 THEN 'dt' WHEN dist < 1.5 THEN 'jitter' WHEN NOT alike THEN 'profile' WHEN e1 > 0 AND dist > ((sqrt(area1) + 1.5) / e1) * dt * 1.5 + 1.5 THEN 'exposure' ELSE 'ok' END AS code FROM pr)"""
 
 
@@ -491,12 +491,12 @@ def velocity_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.velocity_matches(pairs.collinear_triples(d.detections(spark, sf_dir), _LOOSE, 60.0), _LOOSE).select("det_id1", "det_id2", "det_id3")
 
 
-#: Given tracks for scoring: the detections by id modulo 40.
-_TRACKS = f"{d.DETECTIONS}, tr AS (SELECT det_id % 40 AS t, * FROM det)"
+#: Given tracks for scoring: a session's detections by id modulo 40.
+_TRACKS = f"{d.DETECTIONS}, tr AS (SELECT session * 40 + det_id % 40 AS t, * FROM det)"
 
 
 def _given(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.detections(spark, sf_dir).withColumn("t", F.col("det_id") % 40)
+    return d.detections(spark, sf_dir).withColumn("t", F.col("session") * 40 + F.col("det_id") % 40)
 
 
 _RHYTHM = DetectionConfig(rhythm_allowed_variance=60.0)
@@ -538,19 +538,19 @@ def line_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.track_ends(_given(spark, sf_dir), "t").select("t", *[r6(k) for k in ("x1", "y1", "x2", "y2")])
 
 
-@query(f"WITH {d.DETECTIONS}, a AS (SELECT det_id % 9 AS t, det_id FROM det UNION SELECT 100 + det_id % 11, det_id FROM det) SELECT p.t AS t1, q.t AS t2, count(DISTINCT p.det_id) AS shared FROM a p JOIN a q ON p.det_id = q.det_id AND p.t < q.t GROUP BY 1, 2 HAVING count(DISTINCT p.det_id) >= 2")
+@query(f"WITH {d.DETECTIONS}, a AS (SELECT session * 200 + det_id % 9 AS t, det_id FROM det UNION SELECT session * 200 + 100 + det_id % 11, det_id FROM det) SELECT p.t AS t1, q.t AS t2, count(DISTINCT p.det_id) AS shared FROM a p JOIN a q ON p.det_id = q.det_id AND p.t < q.t GROUP BY 1, 2 HAVING count(DISTINCT p.det_id) >= 2")
 def duplicate_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     det = d.detections(spark, sf_dir)
-    t = det.groupBy((F.col("det_id") % 9).alias("t")).agg(F.collect_list("det_id").alias("ids")).unionByName(det.groupBy((F.col("det_id") % 11 + 100).alias("t")).agg(F.collect_list("det_id").alias("ids")))
+    t = det.groupBy((F.col("session") * 200 + F.col("det_id") % 9).alias("t")).agg(F.collect_list("det_id").alias("ids")).unionByName(det.groupBy((F.col("session") * 200 + F.col("det_id") % 11 + 100).alias("t")).agg(F.collect_list("det_id").alias("ids")))
     return pairs.shared_points(t.withColumnRenamed("t", "t1"), t.withColumnRenamed("t", "t2"))
 
 
-@query(f"WITH {d.DETECTIONS}, f AS (SELECT count(DISTINCT frame) AS frames, bool_and(ts_ms <> -1) AS timed FROM det WHERE (frame, det_id) IN (SELECT (frame, min(det_id)) FROM det GROUP BY frame)) SELECT frames, timed, CAST(least(5, greatest(3, ceil(frames / 3.0))) AS INTEGER) AS min_points FROM f")
+@query(f"WITH {d.DETECTIONS}, f AS (SELECT session, count(DISTINCT frame) AS frames, bool_and(ts_ms <> -1) AS timed FROM det WHERE (frame, det_id) IN (SELECT (frame, min(det_id)) FROM det GROUP BY frame) GROUP BY session) SELECT session, frames, timed, CAST(least(5, greatest(3, ceil(frames / 3.0))) AS INTEGER) AS min_points FROM f")
 def timestamp_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames, whether each frame's first detection carries a time, and the points that a track needs."""
-    first = d.detections(spark, sf_dir).groupBy("frame").agg(F.min(F.struct("det_id", "ts_ms")).alias("f"))
-    g = first.agg(F.count("*").alias("frames"), F.bool_and(F.col("f.ts_ms") != -1).alias("timed"))
-    return g.select("frames", "timed", F.least(F.lit(BASE.absolute_max_points_required), F.greatest(F.lit(3), F.ceil(F.col("frames") / BASE.track_min_frame_ratio))).cast("int").alias("min_points"))
+    first = d.detections(spark, sf_dir).groupBy("session", "frame").agg(F.min(F.struct("det_id", "ts_ms")).alias("f"))
+    g = first.groupBy("session").agg(F.count("*").alias("frames"), F.bool_and(F.col("f.ts_ms") != -1).alias("timed"))
+    return g.select("session", "frames", "timed", F.least(F.lit(BASE.absolute_max_points_required), F.greatest(F.lit(3), F.ceil(F.col("frames") / BASE.track_min_frame_ratio))).cast("int").alias("min_points"))
 
 
 @query(f"WITH {d.DETECTIONS} SELECT det_id, area < 15 AS small, CASE WHEN area < 15 THEN NULL WHEN peak_sigma >= 8 THEN 'PEAK_SIGMA' WHEN area >= 25 AND integrated_sigma >= 12 AND peak_sigma >= 3 THEN 'INTEGRATED_SIGMA' END AS type FROM det")
@@ -569,9 +569,9 @@ def best_line_per_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.best_lines(d.detections(spark, sf_dir), "frame", BASE.suspected_streak_line_tolerance).withColumn("span", F.round("span", 4))
 
 
-# Residuals. Groups: detections by id modulo 60 with places folded into a small field.
+# Residuals. Groups: a session's detections by id modulo 60 with places folded into a small field.
 
-_GROUPS = f"""{d.DETECTIONS}, gp AS (SELECT det_id % 60 AS g, frame, x % 7 AS x, floor(y) % 7 AS y, greatest(peak_sigma, integrated_sigma) AS signal FROM det),
+_GROUPS = f"""{d.DETECTIONS}, gp AS (SELECT session * 60 + det_id % 60 AS g, frame, x % 7 AS x, floor(y) % 7 AS y, greatest(peak_sigma, integrated_sigma) AS signal FROM det),
 o AS (SELECT *, frame::DOUBLE AS tt, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(frame) OVER w AS pf FROM gp WINDOW w AS (PARTITION BY g ORDER BY frame, x, y)),
 f AS (SELECT g, count(*) AS n, sum(tt) AS st, sum(tt * tt) AS stt, sum(x) AS sx, sum(y) AS sy, sum(tt * x) AS stx, sum(tt * y) AS sty FROM o GROUP BY g),
 l AS (SELECT *, CASE WHEN abs(n * stt - st * st) < 1e-9 THEN 0 ELSE (n * stx - st * sx) / (n * stt - st * st) END AS kx, CASE WHEN abs(n * stt - st * st) < 1e-9 THEN 0 ELSE (n * sty - st * sy) / (n * stt - st * st) END AS ky FROM f),
@@ -586,7 +586,7 @@ kd AS (SELECT *, CASE WHEN points >= 4 AND move >= 1.25 AND move <= 32 AND cover
 
 def _groups(spark: SparkSession, sf_dir: str, fold: int = 60) -> DataFrame:
     det = d.detections(spark, sf_dir)
-    pts = det.select((F.col("det_id") % fold).alias("g"), "frame", (F.col("x") % 7).alias("x"), (F.floor("y") % 7).cast("double").alias("y"), F.greatest("peak_sigma", "integrated_sigma").alias("signal"))
+    pts = det.select((F.col("session") * fold + F.col("det_id") % fold).alias("g"), "frame", (F.col("x") % 7).alias("x"), (F.floor("y") % 7).cast("double").alias("y"), F.greatest("peak_sigma", "integrated_sigma").alias("signal"))
     return residual.group_metrics(pts, ["g"])
 
 
@@ -596,7 +596,7 @@ def residual_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("g", "points", "frames", F.col("span").cast("int").alias("span"), F.col("gaps").cast("long").alias("gaps"), r6("move"), r6("mean_step"), r6("max_step"), F.round("rmse", 5).alias("rmse"), r6("radius"), r6("signal"), r6("coverage"))
 
 
-_PAIRED = _GROUPS.replace("det_id % 60 AS g", "frame // 3 * 100 + det_id % 6 AS g")
+_PAIRED = _GROUPS.replace("session * 60 + det_id % 60 AS g", "frame // 3 * 100 + det_id % 6 AS g")
 
 
 @query(f"WITH {_PAIRED} SELECT g, kind, round(CASE WHEN kind IS NOT NULL THEN points * 100.0 + least(signal * points, 300.0) * 0.25 - rmse * 25.0 - gaps * 10.0 - mean_step * 3.0 + least(move, 12.0) - CASE kind WHEN 'LOCAL_REPEAT' THEN 35.0 WHEN 'SPARSE_LOCAL_DRIFT' THEN 20.0 ELSE 0.0 END END, 4) AS score FROM kd")
@@ -608,7 +608,7 @@ def rescue_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {d.DETECTIONS}, n AS (SELECT det_id, x * 0.1 AS x, y * 0.1 AS y FROM det), e AS (SELECT a.det_id AS a, b.det_id AS b FROM n a JOIN n b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 4.0),
+    f"""WITH RECURSIVE {d.DETECTIONS}, n AS (SELECT session, det_id, x * 0.8 AS x, y * 0.8 AS y FROM det), e AS (SELECT a.det_id AS a, b.det_id AS b FROM n a JOIN n b ON a.session = b.session AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 4.0),
 reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b) SELECT a AS det_id, min(b) AS cluster FROM reach GROUP BY a"""
 )
 def proximity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -618,11 +618,11 @@ def proximity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         t = table.sort_by("det_id")
         ids = t.column("det_id").to_numpy()
-        groups = residual.proximity_clusters(t.column("x").to_numpy() * 0.1, t.column("y").to_numpy() * 0.1, residual.LIMITS["link_radius"])
+        groups = residual.proximity_clusters(t.column("x").to_numpy() * 0.8, t.column("y").to_numpy() * 0.8, residual.LIMITS["link_radius"])
         rows = np.concatenate(groups)
         return pa.table({"det_id": ids[rows], "cluster": np.concatenate([np.full(len(g), ids[g].min()) for g in groups])})
 
-    return d.detections(spark, sf_dir).select(F.lit("s").alias("session_id"), "det_id", "x", "y").groupBy("session_id").applyInArrow(run, "det_id long, cluster long")
+    return d.detections(spark, sf_dir).select("session", "det_id", "x", "y").groupBy("session").applyInArrow(run, "det_id long, cluster long")
 
 
 @query(f"WITH {d.DETECTIONS} SELECT frame, det_id FROM det a WHERE det_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM det b WHERE b.det_id % 3 = 0 AND b.frame = a.frame AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 25.0)")
@@ -675,14 +675,14 @@ def sample_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuner.sample_frames(m, "month", m.count()).select("month", r6("score"))
 
 
-_MATCH = f"""{d.DETECTIONS}, s AS (SELECT det_id AS s_id, x AS sx, y AS sy FROM det WHERE frame = 0), o AS (SELECT frame, det_id AS o_id, x, y FROM det WHERE frame > 0),
+_MATCH = f"""{d.DETECTIONS}, s AS (SELECT det_id AS s_id, x AS sx, y AS sy FROM det WHERE frame % {d.DAYS} = 0), o AS (SELECT frame, det_id AS o_id, x, y FROM det WHERE frame % {d.DAYS} > 0),
 n AS (SELECT frame, o_id, s_id, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) AS dist FROM o, s WHERE sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) <= 40),
 mt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, o_id ORDER BY dist, s_id) AS a, row_number() OVER (PARTITION BY frame, s_id ORDER BY dist, o_id) AS b FROM n) WHERE a = 1 AND b = 1)"""
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     det = d.detections(spark, sf_dir)
-    return tuner.reciprocal_matches(det.filter("frame = 0").select(F.col("det_id").alias("s_id"), F.col("x").alias("sx"), F.col("y").alias("sy")), det.filter("frame > 0").select("frame", F.col("det_id").alias("o_id"), "x", "y"), 40.0)
+    return tuner.reciprocal_matches(det.filter(F.col("frame") % d.DAYS == 0).select(F.col("det_id").alias("s_id"), F.col("x").alias("sx"), F.col("y").alias("sy")), det.filter(F.col("frame") % d.DAYS > 0).select("frame", F.col("det_id").alias("o_id"), "x", "y"), 40.0)
 
 
 @query(f"WITH {_MATCH} SELECT frame, o_id, s_id, round(dist, 6) AS dist FROM mt")
@@ -690,9 +690,10 @@ def reciprocal_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir).select("frame", "o_id", "s_id", r6("dist"))
 
 
-@query(f"WITH {_MATCH}, l AS (SELECT coalesce(list_sort(list(dist)), []) AS l FROM mt) SELECT CAST(len(l) AS INTEGER) AS matches, round(CASE WHEN len(l) < 8 THEN 1.5 ELSE greatest(1.0, 2.0 * l[CAST(floor(0.9 * (len(l) - 1) + 0.5) AS INTEGER) + 1]) END, 6) AS jitter FROM l")
+@query(f"WITH {_MATCH}, l AS (SELECT frame // {d.DAYS} AS session, list_sort(list(dist)) AS l FROM mt GROUP BY 1) SELECT CAST(session AS BIGINT) AS session, CAST(len(l) AS INTEGER) AS matches, round(CASE WHEN len(l) < 8 THEN 1.5 ELSE greatest(1.0, 2.0 * l[CAST(floor(0.9 * (len(l) - 1) + 0.5) AS INTEGER) + 1]) END, 6) AS jitter FROM l")
 def jitter_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tuner.jitter_from(_matches(spark, sf_dir)).select("matches", r6("jitter"))
+    found = _matches(spark, sf_dir).withColumn("session", F.expr(f"frame div {d.DAYS}"))
+    return tuner.jitter_from(found, keys=("session",)).select("session", "matches", r6("jitter"))
 
 
 _GRID = """g AS (SELECT CAST(row_number() OVER (ORDER BY p, s, gd, o) - 1 AS INTEGER) AS ord, p AS min_pix, s AS sigma, gd AS grow_delta, o AS overlap, greatest(1.0, s - gd, 2.75)::DOUBLE AS grow
@@ -737,21 +738,22 @@ def tuner_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of a session's detections as a session of its own: candidates grow with the square of a session."""
     det = d.detections(spark, sf_dir)
     return det.select(
-        F.lit("s").alias("session_id"), F.col("frame").alias("frame_pos"), F.col("frame").alias("seq_index"), F.col("det_id").cast("int").alias("obj_ord"), "det_id", "x", "y", "ts_ms", "exposure_ms",
+        F.concat(F.lit("s"), "session", F.lit("-"), F.col("det_id") % 5).alias("session_id"), (F.col("frame") % d.DAYS).alias("frame_pos"), (F.col("frame") % d.DAYS).alias("seq_index"), F.col("det_id").cast("int").alias("obj_ord"), "det_id", "x", "y", "ts_ms", "exposure_ms",
         F.col("area").alias("pixel_area"), "fwhm", F.col("flux").alias("total_flux"), "peak_sigma", "integrated_sigma", ((F.col("det_id") % 31) / 10.0).alias("angle"),
     )
 
 
 @query()
 def time_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.timed_tracks(_session(spark, sf_dir), 30, DetectionConfig(time_based_velocity_tolerance=0.3, max_fwhm_ratio=0, max_surface_brightness_ratio=0))
+    return linking.timed_tracks(_session(spark, sf_dir), 30, DetectionConfig(time_based_velocity_tolerance=0.3, max_fwhm_ratio=0, max_surface_brightness_ratio=0), parts=2)
 
 
 @query()
 def geo_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.geometric_tracks_of(_session(spark, sf_dir), 30, DetectionConfig(max_fwhm_ratio=0, max_surface_brightness_ratio=0, max_jump_pixels=150, angle_tolerance_degrees=10))
+    return linking.geometric_tracks_of(_session(spark, sf_dir), 30, DetectionConfig(max_fwhm_ratio=0, max_surface_brightness_ratio=0, max_jump_pixels=40, angle_tolerance_degrees=10))
 
 
 @query()

@@ -1,15 +1,16 @@
 """Image-shaped tables derived from the driver's business tables, deterministic in Spark and in SQL.
 
-The pixel cube has 7 frames of 64 x 64 pixels; detections come 12 a day from events; frame metrics from orders by month.
+The pixel cube has 7 frames of 64 x 64 pixels; every event is a detection; frame metrics from orders by month.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-FRAMES, SIDE, PER_DAY = 7, 64, 12
+FRAMES, SIDE = 7, 64
+#: Frame numbers kept for a session, of which a month of days uses 30 or 31, and pixels between the fields of sessions.
+DAYS, FIELD = 32, 10_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,37 +40,34 @@ def frame_rows(cube: DataFrame) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(frame, det_id, x, y, flux, area, fwhm, elongation, peak_sigma, integrated_sigma, ts_ms, exposure_ms)."""
-    top = Window.partitionBy("frame").orderBy(F.desc("value"), "event_id")
+    """(session, frame, det_id, x, y, flux, area, fwhm, elongation, peak_sigma, integrated_sigma, ts_ms, exposure_ms) of every event.
+
+    Five users make a session, so sessions grow in number with the events and not in size. A session's frames are its days,
+    numbered from ``session * DAYS``; its field lies ``FIELD`` pixels from the next one's."""
     e = read(spark, sf_dir, "events").select("event_id", "user_id", "value", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
-    first = e.agg(F.min("ts_ms").alias("t0"))
-    e = e.join(F.broadcast(first)).withColumn("frame", F.expr("ts_ms div 86400000 - t0 div 86400000").cast("int"))
-    return (
-        e.withColumn("rank", F.row_number().over(top))
-        .filter(f"rank <= {PER_DAY}")
-        .select(
-            "frame",
-            F.col("event_id").alias("det_id"),
-            F.col("user_id").cast("double").alias("x"),
-            F.col("value").cast("double").alias("y"),
-            (F.col("event_id") % 97 + 50).cast("double").alias("flux"),
-            (F.col("event_id") % 40 + 1).cast("double").alias("area"),
-            ((F.col("event_id") % 7 + 2) / F.lit(2.0)).alias("fwhm"),
-            (F.lit(1.0) + (F.col("event_id") % 13) / F.lit(4.0)).alias("elongation"),
-            (F.col("event_id") % 11).cast("double").alias("peak_sigma"),
-            (F.col("event_id") % 23).cast("double").alias("integrated_sigma"),
-            "ts_ms",
-            (F.col("event_id") % 3 * 60000).cast("long").alias("exposure_ms"),
-        )
+    e = e.join(F.broadcast(e.agg(F.min("ts_ms").alias("t0")))).withColumn("session", F.expr("user_id div 5"))
+    return e.select(
+        "session",
+        (F.col("session") * DAYS + F.expr("ts_ms div 86400000 - t0 div 86400000")).cast("int").alias("frame"),
+        F.col("event_id").alias("det_id"),
+        (F.col("session") * FIELD + F.col("event_id") * 7 % 101).cast("double").alias("x"),
+        F.col("value").cast("double").alias("y"),
+        (F.col("event_id") % 97 + 50).cast("double").alias("flux"),
+        (F.col("event_id") % 40 + 1).cast("double").alias("area"),
+        ((F.col("event_id") % 7 + 2) / F.lit(2.0)).alias("fwhm"),
+        (F.lit(1.0) + (F.col("event_id") % 13) / F.lit(4.0)).alias("elongation"),
+        (F.col("event_id") % 11).cast("double").alias("peak_sigma"),
+        (F.col("event_id") % 23).cast("double").alias("integrated_sigma"),
+        "ts_ms",
+        (F.col("event_id") % 3 * 60000).cast("long").alias("exposure_ms"),
     )
 
 
-DETECTIONS = f"""ev AS (SELECT event_id, user_id, value, epoch_us(ts) // 1000 AS ts_ms FROM events),
-ranked AS (SELECT *, CAST(ts_ms // 86400000 - (SELECT min(ts_ms) // 86400000 FROM ev) AS INTEGER) AS frame,
-  row_number() OVER (PARTITION BY ts_ms // 86400000 ORDER BY value DESC, event_id) AS rnk FROM ev),
-det AS (SELECT frame, event_id AS det_id, CAST(user_id AS DOUBLE) AS x, CAST(value AS DOUBLE) AS y, CAST(event_id % 97 + 50 AS DOUBLE) AS flux, CAST(event_id % 40 + 1 AS DOUBLE) AS area,
+DETECTIONS = f"""ev AS (SELECT event_id, user_id, value, user_id // 5 AS session, epoch_us(ts) // 1000 AS ts_ms FROM events),
+det AS (SELECT session, CAST(session * {DAYS} + ts_ms // 86400000 - (SELECT min(ts_ms) // 86400000 FROM ev) AS INTEGER) AS frame, event_id AS det_id, CAST(session * {FIELD} + event_id * 7 % 101 AS DOUBLE) AS x, CAST(value AS DOUBLE) AS y,
+  CAST(event_id % 97 + 50 AS DOUBLE) AS flux, CAST(event_id % 40 + 1 AS DOUBLE) AS area,
   (event_id % 7 + 2) / 2.0::DOUBLE AS fwhm, 1.0::DOUBLE + (event_id % 13) / 4.0::DOUBLE AS elongation, CAST(event_id % 11 AS DOUBLE) AS peak_sigma, CAST(event_id % 23 AS DOUBLE) AS integrated_sigma,
-  ts_ms, CAST(event_id % 3 * 60000 AS BIGINT) AS exposure_ms FROM ranked WHERE rnk <= {PER_DAY})"""
+  ts_ms, CAST(event_id % 3 * 60000 AS BIGINT) AS exposure_ms FROM ev)"""
 
 
 def frame_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,15 +38,15 @@ def check_sizes(frames: DataFrame) -> None:
         raise ValueError(f"frames of session {bad[0]['session_id']} differ in size")
 
 
-def frame_rows(frames: DataFrame) -> DataFrame:
-    """(session_id, seq_index, y, px array<int>) in the shifted domain."""
-    rows = frames.select("session_id", "seq_index", F.posexplode("px").alias("y", "row"))
-    return rows.select("session_id", "seq_index", "y", F.transform("row", decode).alias("px"))
+def frame_rows(frames: DataFrame, *own: str) -> DataFrame:
+    """(session_id, seq_index, [own columns,] y, px array<int>) in the shifted domain."""
+    rows = frames.select("session_id", "seq_index", *own, F.posexplode("px").alias("y", "row"))
+    return rows.select("session_id", "seq_index", *own, "y", F.transform("row", decode).alias("px"))
 
 
-def pixels(frames: DataFrame) -> DataFrame:
-    """(session_id, seq_index, y, x, v): the long layout, for small frames and histograms."""
-    return frame_rows(frames).select("session_id", "seq_index", "y", F.posexplode("px").alias("x", "v"))
+def pixels(frames: DataFrame, *own: str) -> DataFrame:
+    """(session_id, seq_index, [own columns,] y, x, v): the long layout, for small frames and histograms."""
+    return frame_rows(frames, *own).select("session_id", "seq_index", *own, "y", F.posexplode("px").alias("x", "v"))
 
 
 def crop(rows: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
