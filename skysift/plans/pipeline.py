@@ -6,7 +6,7 @@ Every stage is a DataFrame keyed by session, so sessions run side by side; what
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,12 @@ class RunResult:
     residuals: DataFrame
     slow_movers: DataFrame | None
     objects: DataFrame
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Give back the storage of what the run persisted."""
+        for df in self.held:
+            df.unpersist()
 
     def report(self) -> str:
         grab = lambda df, *keys: [r.asDict() for r in df.groupBy(*keys).count().orderBy(*keys).collect()]
@@ -48,19 +54,18 @@ def _tell(listener: Listener | None, percent: int, what: str) -> None:
         listener(percent, what)
 
 
-def analyze_drift(frames: DataFrame, config: DetectionConfig) -> tuple[DataFrame, DetectionConfig]:
-    """Drift vectors, and the configuration with the void radius that they recommend (the caller's is not changed)."""
-    size = frames.select("width", "height").first()
-    if size is None:
-        raise ValueError("no frames")
-    vectors = drift.drift_vectors(drift.valid_bounds(pixels(frames), ["session_id", "seq_index"], size["width"], size["height"]), ["session_id", "seq_index"], size["width"], size["height"])
-    radius = drift.void_radius(vectors, config.void_proximity_radius).first()["void_radius"]
-    return vectors, replace(config, void_proximity_radius=radius)
+def analyze_drift(frames: DataFrame, config: DetectionConfig) -> tuple[DataFrame, DataFrame]:
+    """Drift vectors of every frame, and (session_id, void_radius): the radius that they recommend for each session."""
+    keys, size = ["session_id", "seq_index"], ["width", "height"]
+    bounds = drift.valid_bounds(pixels(frames, *size), [*keys, *size], *size)
+    vectors = drift.drift_vectors(bounds, [*keys, *size], *size).drop(*size)
+    return vectors, drift.void_radius(vectors, config.void_proximity_radius, ("session_id",))
 
 
 def session_quality(frames: DataFrame, config: DetectionConfig) -> DataFrame:
     """Frame metrics with is_rejected and reason."""
-    rows = frame_rows(frames)
+    own = ["void_radius"] if "void_radius" in frames.columns else []
+    rows = frame_rows(frames, *own)
     found = sources.extract(rows, config.quality_sigma_multiplier, config.quality_min_detection_pixels, config.for_quality())
     back = bg.clipped_background(bg.histogram(pixels(frames), ["session_id", "seq_index"]), ["session_id", "seq_index"], config)
     metrics = quality.frame_quality(found, back, ["session_id", "seq_index"], config).persist()
@@ -93,35 +98,53 @@ class Transients:
     master_stars: DataFrame
     mask: DataFrame
     vetoed: DataFrame
+    void_radius: DataFrame
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Give back the storage of what was persisted; the DataFrames stay usable and are computed again."""
+        for df in self.held:
+            df.unpersist()
 
 
 def detect_transients(frames: DataFrame, config: DetectionConfig = DetectionConfig(), listener: Listener | None = None, provided_stack: DataFrame | None = None) -> Transients:
     """Up to the stationary veto; a given stack replaces stacking only."""
     check_sizes(frames)
-    size = frames.select("width", "height").first()
-    vectors, config = analyze_drift(frames, config)
+    if frames.isEmpty():
+        raise ValueError("no frames")
+    vectors, radius = analyze_drift(frames, config)
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return df
+
+    radius = hold(radius)
+    frames = frames.join(radius, "session_id")
     _tell(listener, 10, "drift")
-    verdicts = session_quality(frames, config).persist()
-    kept = _kept(frames, verdicts).persist()
+    verdicts = hold(session_quality(frames, config))
+    kept = hold(_kept(frames, verdicts))
     if kept.isEmpty():
         raise ValueError("every frame was rejected")
     pos = kept.select("session_id", "seq_index", "frame_pos", "filename", "ts_ms", "exposure_ms")
-    objects = sources.extract(frame_rows(kept), config.detection_sigma_multiplier, config.min_detection_pixels, config).join(pos, ["session_id", "seq_index"])
-    objects = objects.withColumn("det_id", (F.col("frame_pos").cast("long") * 10_000_000 + F.col("obj_ord"))).persist()
+    objects = sources.extract(frame_rows(kept, "void_radius"), config.detection_sigma_multiplier, config.min_detection_pixels, config).join(pos, ["session_id", "seq_index"])
+    objects = hold(objects.withColumn("det_id", (F.col("frame_pos").cast("long") * 10_000_000 + F.col("obj_ord"))))
     _tell(listener, 40, "extracted")
-    stack = (provided_stack if provided_stack is not None else stacks.stack_rows(frame_rows(kept), config.slow_mover_stack_middle_fraction)).persist()
-    stars = sources.extract(stacks.stack_frame(stack, "median"), config.master_sigma_multiplier, config.master_min_detection_pixels, config.for_master()).persist()
-    mask = reference.dilated_mask(reference.footprint_pixels(stars, SESSION), SESSION, reference.engine_radius(config.max_star_jitter), size["width"], size["height"]).persist()
+    stack = hold(provided_stack if provided_stack is not None else stacks.stack_rows(frame_rows(kept), config.slow_mover_stack_middle_fraction))
+    stars = hold(sources.extract(stacks.stack_frame(stack, "median").join(radius, "session_id"), config.master_sigma_multiplier, config.master_min_detection_pixels, config.for_master()))
+    size = kept.select("session_id", "width", "height").distinct()
+    spots = reference.footprint_pixels(stars, SESSION).join(size, "session_id")
+    mask = hold(reference.dilated_mask(spots, [*SESSION, "width", "height"], reference.engine_radius(config.max_star_jitter), "width", "height").drop("width", "height"))
     over = reference.overlap(reference.footprint_pixels(objects, ["session_id", "det_id"]), mask, ["session_id", "det_id"], SESSION)
-    vetoed = reference.veto(objects, over, ["session_id", "det_id"], config).persist()
+    vetoed = hold(reference.veto(objects, over, ["session_id", "det_id"], config))
     _tell(listener, 60, "vetoed")
-    return Transients(config, verdicts, vectors, kept, objects, stack, stars, mask, vetoed)
+    return Transients(config, verdicts, vectors, kept, objects, stack, stars, mask, vetoed, radius, held)
 
 
 LINKED = "session_id string, what string, group_id int, kind string, ord int, det_id long"
 
 
-def _link_session(config: DetectionConfig, frames: int, compat_frame_index: bool):
+def _link_session(config: DetectionConfig, compat_frame_index: bool):
     """Streak chains, point tracks, anomalies, suspected streaks and consolidation of one session, as rows."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -133,7 +156,7 @@ def _link_session(config: DetectionConfig, frames: int, compat_frame_index: bool
             foot = t.column("footprint")[k].as_py()
             shapes[k] = sources.Source(k, p.x[k], p.y[k], p.flux[k], p.peak[k], p.integrated[k], p.area[k], p.fwhm[k], 0.0, p.angle[k], True, *(np.array([f[c] for f in foot], float) for c in "xyv"))
         out: list[tuple] = []
-        n = frames
+        n = t.column("n_frames")[0].as_py()
         if n >= 3:
             confirmed, alone = linking.chain_streaks(p, np.flatnonzero(streak).tolist(), config)
             single, _ = linking.promote_single_streaks(p, alone, shapes, config)
@@ -166,11 +189,12 @@ def _link_session(config: DetectionConfig, frames: int, compat_frame_index: bool
     return run
 
 
-def link(vetoed: DataFrame, frames: int, config: DetectionConfig, compat_frame_index: bool = False) -> DataFrame:
-    """Rows (session_id, what, group_id, kind, ord, det_id) of tracks, anomalies and leftovers. The greedy parts are ordered,
+def link(vetoed: DataFrame, frames: DataFrame, config: DetectionConfig, compat_frame_index: bool = False) -> DataFrame:
+    """``frames``: (session_id, n_frames). Rows (session_id, what, group_id, kind, ord, det_id) of tracks, anomalies and leftovers. The greedy parts are ordered,
     so a session is one task; sessions run side by side."""
-    alive = vetoed.filter(~F.col("is_purged"))
-    return alive.groupBy("session_id").applyInArrow(_link_session(config, frames, compat_frame_index), LINKED)
+    alive = vetoed.filter(~F.col("is_purged")).join(frames, "session_id")
+    alive = alive.repartition(int(alive.sparkSession.conf.get("spark.sql.shuffle.partitions")), "session_id")
+    return alive.groupBy("session_id").applyInArrow(_link_session(config, compat_frame_index), LINKED)
 
 
 def slow_movers(t: Transients) -> DataFrame | None:
@@ -178,7 +202,8 @@ def slow_movers(t: Transients) -> DataFrame | None:
     config = t.config
     if not config.enable_slow_mover_detection:
         return None
-    found = sources.extract(stacks.stack_frame(t.stack, "slow"), config.master_slow_mover_sigma_multiplier, config.master_slow_mover_min_pixels, config.for_slow_movers()).persist()
+    found = sources.extract(stacks.stack_frame(t.stack, "slow").join(t.void_radius, "session_id"), config.master_slow_mover_sigma_multiplier, config.master_slow_mover_min_pixels, config.for_slow_movers())
+    t.held.append(found.persist())
     own = ["session_id", "obj_ord"]
     foot = reference.footprint_pixels(found, own)
     mask = reference.footprint_pixels(t.master_stars, SESSION).select("session_id", "y", "x").distinct()
@@ -189,8 +214,9 @@ def slow_movers(t: Transients) -> DataFrame | None:
 
 def run_pipeline(frames: DataFrame, config: DetectionConfig = DetectionConfig(), listener: Listener | None = None, provided_stack: DataFrame | None = None, compat_frame_index: bool = False) -> RunResult:
     t = detect_transients(frames, config, listener, provided_stack)
-    n = t.kept.agg(F.max("frame_pos")).first()[0] + 1
+    n = t.kept.groupBy("session_id").agg((F.max("frame_pos") + 1).alias("n_frames"))
     linked = link(t.vetoed, n, t.config, compat_frame_index).persist()
+    t.held.append(linked)
     _tell(listener, 90, "linked")
     alive = t.vetoed.filter(~F.col("is_purged"))
     what = lambda name: linked.filter(F.col("what") == name)
@@ -199,7 +225,7 @@ def run_pipeline(frames: DataFrame, config: DetectionConfig = DetectionConfig(),
     left = alive.join(what("unclassified").select("session_id", "det_id"), ["session_id", "det_id"], "left_semi")
     residuals = residual.analyze_residuals(left.filter(~F.col("is_streak")), t.config)
     _tell(listener, 100, "done")
-    return RunResult(t.config, t.frames, t.drift, t.stack, t.master_stars, t.mask, alive, tracks, anomalies, left, residuals, slow_movers(t), t.objects)
+    return RunResult(t.config, t.frames, t.drift, t.stack, t.master_stars, t.mask, alive, tracks, anomalies, left, residuals, slow_movers(t), t.objects, t.held)
 
 
 __all__ = ["RunResult", "Transients", "analyze_drift", "detect_transients", "generate_master_stack", "link", "run_pipeline", "session_quality", "slow_movers"]
