@@ -347,18 +347,27 @@ def text_to_media(docs: DataFrame) -> DataFrame:
 
 
 def media_clips(media: DataFrame) -> DataFrame:
-    """(doc_id, media) -> timed clip rows: doc_id, clip, first_frame, frames, start_s, end_s."""
+    """(doc_id, media) -> timed clip rows: doc_id, clip, first_frame, frames, start_s, end_s, error.
+
+    Null media give one row without a clip; so do damaged media, with what is wrong in ``error``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                _, starts, n, step = decode_files([data])[0]
-                rows += [(doc, k, s, e - s, s * step, e * step) for k, (s, e) in enumerate(zip(starts, [*starts[1:], n], strict=True))]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "clip", "first_frame", "frames", "start_s", "end_s"])
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, clip int, first_frame int, frames int, start_s double, end_s double")
+                if data is None:
+                    rows.append((doc, *[None] * 6))
+                    continue
+                try:
+                    _, starts, n, step = decode_files([data])[0]
+                except (ValueError, IndexError, KeyError, struct.error) as wrong:
+                    rows.append((doc, *[None] * 5, str(wrong) or type(wrong).__name__))
+                    continue
+                rows += [(doc, k, s, e - s, s * step, e * step, None) for k, (s, e) in enumerate(zip(starts, [*starts[1:], n], strict=True))]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "clip", "first_frame", "frames", "start_s", "end_s", "error"])
+
+    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, clip int, first_frame int, frames int, start_s double, end_s double, error string")
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

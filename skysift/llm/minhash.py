@@ -4,7 +4,7 @@ Semantics (operator 1). Words are runs of bytes other than space and 0x09-0x0D,
 holds its distinct ``SHINGLE``-word shingles; with fewer words the whole sequence is the one element; a text that is null,
 empty or blank has the empty set and links with nothing (it is its own component). Two documents are linked when
 100 * |intersection| >= threshold_pct * |union|. ``component_id`` is the smallest id reachable; ties cannot occur as ids
-are compared. Rows repeated with the same id count once for links and are returned once each. An empty table gives an
+are compared. A null id is linked with nothing and kept, with a null component. Rows repeated with the same id count once for links and are returned once each. An empty table gives an
 empty result. Extra columns are ignored, whatever their names.
 
 How it scales. Documents of equal sets are collapsed to one representative first (by a salted group minimum). Every
@@ -196,7 +196,7 @@ def minhash_components(docs: DataFrame, threshold_pct: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = materialize(docs.mapInArrow(_sketch, SKETCH), "sketch")
 
-    full = sketches.filter("n_shingles > 0")
+    full = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = with_group_min(full.select("doc_id", "n_shingles", "fp1", "fp2"), ["n_shingles", "fp1", "fp2"], "doc_id", "rep", by="doc_id")
     classes = materialize(classes.select("doc_id", "n_shingles", "rep"), "classes")
     copies = materialize(classes.filter("doc_id <> rep").select("doc_id").distinct(), "copies")
@@ -239,9 +239,9 @@ def minhash_components(docs: DataFrame, threshold_pct: int = 85) -> DataFrame:
     # Component ids are smallest ids: a representative is the smallest of its class.
     by_rep = labels.select(F.col("node").alias("rep"), "component")
     linked = with_component(classes, by_rep)
-    empty = sketches.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    empty = sketches.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = linked.unionByName(empty)
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def with_component(classes: DataFrame, by_rep: DataFrame) -> DataFrame:

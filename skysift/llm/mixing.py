@@ -66,7 +66,7 @@ def _target(col: str, targets: dict[str, float]) -> Column:
 def cell_probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
     """(_s, _l, _t, _mass, _raked, _p) of every cell; at most the product of (targets + 1) rows."""
     dims = {"_s": targets["source"], "_l": targets["lang"], "_t": targets["topic"]}
-    cells = _with_cells(docs, targets).groupBy(*dims).agg(F.sum("_n").cast("double").alias("_mass")).coalesce(1)
+    cells = _with_cells(docs.select("source", "lang", "text"), targets).groupBy(*dims).agg(F.sum("_n").cast("double").alias("_mass")).coalesce(1)
     everything = Window.partitionBy(F.lit(1))
     w = cells.withColumns({"_raked": F.col("_mass"), "_all": F.sum("_mass").over(everything)})
     w = w.withColumns({f"_g{d}": _target(d, t) for d, t in dims.items()})
@@ -103,8 +103,9 @@ def mixing_report(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGET
 def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, budget: float = BUDGET) -> DataFrame:
     """The sampled documents, columns as given."""
     cells = cell_probabilities(docs, targets, budget).select("_s", "_l", "_t", "_p")
-    rows = _with_cells(docs, targets).drop("_n").join(F.broadcast(cells), ["_s", "_l", "_t"])
-    return rows.filter(draw(F.col("doc_id")) < F.col("_p")).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "lang", "text")
+    rows = _with_cells(rows, targets).drop("_n").join(F.broadcast(cells), ["_s", "_l", "_t"])
+    return rows.filter(draw(F.col("doc_id")) < F.col("_p")).select("row.*")
 
 
 def sql(targets: dict[str, dict[str, float]] = TARGETS, budget: float = BUDGET, rounds: int = ROUNDS) -> str:

@@ -3,7 +3,8 @@
 Semantics. A document's ids are its text's ids (null text: empty) followed by the end id. Documents of at most
 ``max_len`` ids are one piece; longer ones are cut into pieces of ``max_len``, of which the first may be shorter.
 Pieces are never split further. Each piece gets a sequence and an offset; a sequence's pieces lie gapless from 0.
-Repeated rows and ids are packed once per row. An empty table gives an empty result. Extra columns are ignored here.
+Repeated rows and ids are packed once per row, null ids too. An empty table gives an empty result. Texts of any length are
+encoded whole. Extra columns are ignored here, whatever their names.
 
 Method. Bounded-space online best fit: a task holds ``open_bins`` open bins, found through a bitset keyed by free space;
 a piece goes to the bin with the least free space that fits; when there is no room for another open bin, the fullest

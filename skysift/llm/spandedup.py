@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import materialize
+from .common import fresh, materialize
 
 MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 2, 20, 50
 
@@ -135,14 +135,15 @@ def _cut(place: int, spans_at: int, counts: bool):
 
 def dedup_spans(docs: DataFrame, counts: bool = False) -> DataFrame:
     """``docs`` with covered sentences cut from ``text``; with ``counts``, also n_sentences and n_removed."""
-    marks = materialize(covered_spans(docs).withColumnRenamed("doc_id", "_span_id"), "covered")
+    of, spans_ = fresh(docs.columns, "span_id", "spans")
+    marks = materialize(covered_spans(docs).select(F.col("doc_id").alias(of), F.col("_spans").alias(spans_)), "covered")
     rows = docs.withColumn("text", F.col("text").cast("string"))
-    rows = rows.join(marks, rows["doc_id"].cast("long") == F.col("_span_id"), "left").drop("_span_id")
+    rows = rows.join(marks, F.col("doc_id").cast("long") == F.col(of), "left").drop(of)
     names = rows.columns
-    schema = rows.drop("_spans").schema
+    schema = rows.drop(spans_).schema
     if counts:
         schema = schema.add("n_sentences", "long").add("n_removed", "long")
-    return rows.mapInArrow(_cut(names.index("text"), names.index("_spans"), counts), schema)
+    return rows.mapInArrow(_cut(names.index("text"), names.index(spans_), counts), schema)
 
 
 def span_digest(docs: DataFrame) -> DataFrame:

@@ -77,8 +77,9 @@ def test_spans_match_brute_force(spark):
 
 def test_spans_edges(spark):
     assert spandedup.dedup_spans(frame(spark, [])).count() == 0
-    extra = frame(spark, odd_rows()[:4]).withColumns({"h": F.lit(1), "s": F.lit(2), "lead": F.lit("x")})
-    assert spandedup.dedup_spans(extra).columns == extra.columns
+    extra = frame(spark, odd_rows()).withColumns({c: F.lit("own " + c) for c in ("h", "s", "lead", "spans", "span_id", "_spans", "_span_id")})
+    got = spandedup.dedup_spans(extra)
+    assert got.columns == extra.columns and all(r.spans == "own spans" and r._spans == "own _spans" and r.span_id == "own span_id" for r in got.collect())
     assert spandedup.dedup_spans(frame(spark, [(None, "A b. C d.", None, None, 1)])).first().text == "A b. C d."
 
 

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -18,6 +19,17 @@ def test_ids_equal_the_tokenizer():
         assert np.frombuffer(ours.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+def test_very_long_texts_and_another_splitting(tmp_path):
+    theirs, ours = Tokenizer.from_file(PATH), ByteBpe(PATH)
+    for text in [" " * 1_000_000 + "x", "a" * 20_000, "\n" * 300_000, "word, " * 100_000]:
+        assert np.frombuffer(ours.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    other, text = ByteBpe(str(tmp_path / "other.json")), "first word, then more"
+    assert np.frombuffer(other.encode(text), "<u4").tolist() == Tokenizer.from_file(str(tmp_path / "other.json")).encode(text, add_special_tokens=False).ids
+
+
 def test_placement_and_content(spark):
     rows = odd_rows()
     out = best_fit_packing(frame(spark, rows).selectExpr("*", "1 as unit", "2 as bin"), PATH, max_len=64).collect()

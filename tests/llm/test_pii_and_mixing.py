@@ -106,3 +106,11 @@ def test_sampling_is_repeatable_and_edges_hold(spark):
     odd = frame(spark).withColumns({"topic": F.lit(1), "_mass2": F.lit(2)})
     assert mixing.mix_sources(odd).columns == odd.columns
     assert mixing.mixing_report(frame(spark)).count() == len(odd_rows())
+
+
+def test_mixing_leaves_clashing_columns_alone(spark):
+    docs = frame(spark)
+    odd = docs.withColumns({c: F.lit("own " + c) for c in ("_s", "_l", "_t", "_n", "_p", "row")})
+    got = {r.doc_id: r.asDict() for r in mixing.mix_sources(odd).collect()}
+    assert sorted(got) == sorted(r.doc_id for r in mixing.mix_sources(docs).collect())
+    assert all(r[c] == "own " + c for r in got.values() for c in ("_s", "_l", "_t", "_n", "_p", "row"))

@@ -154,3 +154,14 @@ def test_a_shot_is_found():
     first = np.zeros(30, bool)
     first[0] = True
     assert np.flatnonzero(media.shot_starts(pixels, first)).tolist() == [0, 12]
+
+
+def test_null_and_damaged_media_give_rows(spark):
+    good = media.text_to_media(frame(spark, [(1, "some text " * 200, None, None, 1)])).first().media
+    rows = [(1, good), (2, None), (3, b""), (4, b"RIFF"), (5, bytes(good)[: len(good) // 2]), (None, good)]
+    got = {}
+    for r in media.media_clips(spark.createDataFrame(rows, "doc_id long, media binary")).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert set(got) == {1, 2, 3, 4, 5, None}
+    assert got[1][0].clip == 0 and got[1][0].error is None and got[2][0].clip is None and got[2][0].error is None
+    assert all(got[k][0].clip is None and got[k][0].error for k in (3, 4, 5))
