@@ -145,3 +145,37 @@ def test_pixel_explode_cuts_nothing(spark, tmp_path):
     assert got == {(k // 8, k % 8): k * 100 for k in range(64)}
     with pytest.raises(Exception, match="64 values"):
         catalog.pixel_explode(spark, str(tmp_path / "long")).collect()
+
+
+def test_sessions_of_different_length_are_linked_apart(spark):
+    def points(session, frames, step):
+        return [(session, k, k, 0, k * 1000 + len(session), 10.0 + step * k, 20.0, k * 60_000, 1_000, 4.0, 2.0, 100.0, 6.0, 6.0, 0.0, False, [], False) for k in range(frames)]
+
+    schema = "session_id string, frame_pos int, seq_index int, obj_ord int, det_id long, x double, y double, ts_ms long, exposure_ms long, pixel_area double, fwhm double, total_flux double, peak_sigma double, integrated_sigma double, angle double, is_streak boolean, footprint array<struct<x:int,y:int,v:int>>, is_purged boolean"
+    config = DetectionConfig(strict_exposure_kinematics=False)
+
+    def linked(rows, lengths):
+        out = pipeline.link(spark.createDataFrame(rows, schema), spark.createDataFrame(lengths, "session_id string, n_frames int"), config).collect()
+        return sorted((r.session_id, r.what, r.kind or "", r.group_id, r.ord, r.det_id) for r in out)
+
+    # Three points are enough for a session of four frames, not for one of fifteen.
+    short, long_ = points("a", 3, 12), points("bb", 3, 12)
+    alone = linked(short, [("a", 4)])
+    both = linked(short + long_, [("a", 4), ("bb", 15)])
+    assert [r for r in both if r[0] == "a"] == alone and any(r[1] == "track" for r in alone)
+    assert not any(r[1] == "track" for r in both if r[0] == "bb")
+
+
+def test_drift_of_sessions_of_different_size(spark):
+    def frame(session, side, pad):
+        px = np.full((side, side), -32768)
+        px[pad : side - 2, 3 : side - 1] = -32600
+        return (session, 0, "f", side, side, 0, 1, px.tolist())
+
+    rows = [frame("a", 30, 4), frame("b", 50, 12)]
+    make = lambda r: spark.createDataFrame(r, fr.SCHEMA)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    both, radius = pipeline.analyze_drift(make(rows), DetectionConfig())
+    single = [pipeline.analyze_drift(make([r]), DetectionConfig()) for r in rows]
+    assert key(both) == sorted(x for v, _ in single for x in key(v))
+    assert key(radius) == sorted(x for _, r in single for x in key(r)) == [("a", 20), ("b", 22)]  # the given radius is 20
