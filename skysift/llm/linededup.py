@@ -12,8 +12,9 @@ with ``counts``, columns named n_lines and n_removed are replaced.
 Method. Each line is parsed once: its sorted token hashes (63 bits and one for long words) are written, and all further steps read them. Lines of
 equal sets are one class, kept by its first line. Tokens are ordered by rarity: by their count over all lines in 32,768
 hashed buckets, on a scale of a quarter octave, then by hash; the table is of fixed size, and any total order is valid for
-prefix filters. A class puts its first n - ceil(0.8 n) + 1 tokens (its prefix) into an index; a token of a very frequent
-bucket is paired with each other token of the prefix that is one longer, in which similar sets share two.
+prefix filters. A class puts its first n - ceil(0.8 n) + 1 tokens (its prefix) into an index; tokens of very frequent buckets stand
+last in it and go by pairs of two such tokens of the prefix that is one longer: similar sets share two tokens there, and if
+the first of these is frequent, so is the second.
 
 Rows of the index meet by key, a later with an earlier one, under the length and positional filters and a bound on the
 sets' difference: 64 or 128 parity bits a set differ in at most as many places as the sets do. Before that, classes meet the
@@ -103,26 +104,25 @@ def _prefix(n: Column) -> Column:
 
 
 def _index_rows(classes: DataFrame, levels: Column) -> DataFrame:
-    """(key, id, n, at, mask, half) of classes(id, n, mask, half, done, h). ``at`` holds the position in the prefix, -1 for paired
-    tokens, and, in its lowest bit, whether the class has stopped looking."""
+    """(key, id, n, at, mask, half) of classes(id, n, mask, half, done, h). ``at`` holds the position in the prefix, for a pair the
+    second's less one, and, in its lowest bit, whether the class has stopped looking."""
     hot, p = _long(HOT_LEVEL << 56), _prefix(F.col("n"))
     keys = F.transform("h", lambda t: F.get(levels, t.bitwiseAND(_long(BUCKETS - 1)).cast("int")).bitwiseOR(t.bitwiseAND(_long((1 << 56) - 1))))
     heads = classes.select("id", "n", "mask", "half", "done", F.slice(F.sort_array(keys), F.lit(1), F.least(p + 1, F.col("n"))).alias("head"))
-    # Paired tokens are the greatest: they stand last in a prefix, and so do their pairs.
-    plain = F.size(F.filter("head", lambda t: t < hot))
-    pairs = F.flatten(F.transform(F.slice("head", plain + 1, p - plain), lambda t: F.transform(F.filter("head", lambda o: o != t), lambda o: F.xxhash64(F.least(t, o), F.greatest(t, o)))))
-    cold = F.get("head", p - 1) < hot
-    rows = heads.select(
-        "id", "n", "mask", "half", "done", F.when(cold, p).otherwise(plain).alias("plain"),
-        F.posexplode_outer(F.when(cold, F.slice("head", F.lit(1), p)).otherwise(F.concat(F.slice("head", F.lit(1), plain), pairs))).alias("pos", "key"),
-    )
-    at = F.when(F.col("pos") < F.col("plain"), F.col("pos")).otherwise(-1) * 2 + F.col("done")
+    # Frequent tokens are the greatest: they stand last in a prefix, and so do their pairs.
+    plain = F.least(F.size(F.filter("head", lambda t: t < hot)), p)
+    often = F.slice("head", plain + 1, F.size("head") - plain)
+    pairs = F.flatten(F.transform(often, lambda o, j: F.transform(F.slice(often, F.lit(1), j), lambda t: F.struct((plain + j - 1).alias("pos"), F.xxhash64(t, o).alias("key")))))
+    single = F.transform(F.slice("head", F.lit(1), plain), lambda t, i: F.struct(i.alias("pos"), t.alias("key")))
+    found = F.when(F.get("head", p - 1) < hot, single).otherwise(F.concat(single, pairs))
+    rows = heads.select("id", "n", "mask", "half", "done", F.inline_outer(found))
+    at = F.col("pos") * 2 + F.col("done")
     return rows.select("key", "id", "n", at.alias("at"), "mask", "half")
 
 
 def _possible(positions: bool) -> Column:
     """Of rows a and b: length filter, difference of the sets by their parity bits and, with ``positions``, the positional
-    filter for single tokens as the first that the two share."""
+    filter: what a row stands for, one token or two, is taken as the first that the two share."""
     na, nb = F.col("a.n"), F.col("b.n")
     need = F.ceil((na + nb) * F.lit(8) / F.lit(18))  # 10 x >= 8 (na + nb - x)
     all_, half = (F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}")) for x in ("mask", "half"))
@@ -131,7 +131,7 @@ def _possible(positions: bool) -> Column:
     if not positions:
         return fits
     pa, pb = (F.shiftright(F.col(f"{x}.at"), 1) for x in "ab")
-    return fits & ((pa < 0) | (pb < 0) | (1 + F.least(na - 1 - pa, nb - 1 - pb) >= need))
+    return fits & (1 + F.least(na - 1 - pa, nb - 1 - pb) >= need)
 
 
 def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
