@@ -37,7 +37,7 @@ HOT_SHARE = 1 / 2000
 #: The rarity level, in the high bits of a key, of a token that is paired.
 HOT_LEVEL = 127
 #: Sets of more tokens are compared by 128 parity bits instead of 64.
-WIDE = 64
+WIDE = 32
 #: Words of so many characters count as long.
 LONG = 7
 #: Pairs of neighbouring token hashes, from the first on, that find a class its lead; classes have four tokens or more.
