@@ -50,6 +50,23 @@ def test_lines_with_many_variants_and_wide_ids(spark):
     assert got == brute_lines(rows)
 
 
+def test_lines_of_frequent_words_only(spark):
+    """Every token is above the bound of frequent ones, so the index holds pairs only; sets of 4 to 40 tokens, some a word apart."""
+    rng = random.Random(6)
+    vocabulary, rows, bases = ["w%d" % k for k in range(60)], [], []
+    for k in range(500):
+        w = rng.sample(vocabulary, rng.choice([4, 5, 6, 9, 14, 25, 40]))
+        if bases and rng.random() < 0.6:
+            w = list(rng.choice(bases))
+            for _ in range(rng.choice([1, 1, 2, 3, 5])):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        bases.append(w)
+        rows.append((k, " ".join(w), None, None, 1))
+    got = {r.doc_id: r.text for r in dedup_lines(frame(spark, rows)).collect()}
+    assert got == brute_lines(rows)
+    assert 50 < sum(t == "" for t in got.values()) < 450
+
+
 def test_lines_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     rows = line_rows()
