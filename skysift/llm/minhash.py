@@ -10,7 +10,9 @@ empty result. Extra columns are ignored, whatever their names.
 How it scales. Documents of equal sets are collapsed to one representative first (by a salted group minimum). Every
 repeated band bucket is compared with one pivot, the member that shares most buckets, so a bucket of n costs n rows and
 not n squared. Buckets whose members are not all in one component after that are compared in blocks of bounded size,
-members of the same component excepted, so that no link between different texts is lost to the choice of pivots.
+members of the same component excepted, so that no link between different texts is lost to the choice of pivots. There a
+bound on the difference of the sets comes first: their parity bits differ in at most as many places as the sets do, so a
+pair that it rules out is no link, and near misses of a large group do not become candidates.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ HASHES = 320
 #: Of pairs exactly at the threshold, the estimate leaves out at most this share.
 MISSED = 3e-5
 BLOCK = 256
+#: Parity bits of a set: the power of two next above PARITY a shingle, within these bounds.
+PARITY, PARITY_LEAST, PARITY_MOST = 4, 256, 1 << 15
 #: Members that share one copy of a pivot's text when links are confirmed.
 MEMBERS = 64
 
@@ -41,7 +45,7 @@ _RNG = np.random.default_rng(97)
 _MUL = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
 
-SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sig binary"
+SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sig binary, parity binary"
 
 
 def shingle_sets(c: tk.Chunk) -> list[np.ndarray]:
@@ -73,9 +77,18 @@ def minima(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity_bits(mixed: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For runs of ``n`` hashes each: the parity of how many fall in each place; a set's places halve by xor of the halves."""
+    wide = np.array([min(max(1 << (PARITY * int(k)).bit_length(), PARITY_LEAST), PARITY_MOST) for k in n], np.int64)
+    ends = np.cumsum(wide)
+    at = (mixed & np.repeat(wide - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(ends - wide, n)
+    packed = np.packbits((np.bincount(at, minlength=ends[-1]) & 1).astype(np.uint8))
+    return [packed[(e - w) // 8 : e // 8].tobytes() for e, w in zip(ends.tolist(), wide.tolist(), strict=True)]
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())]
+        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary()), ("parity", pa.binary())]
     )
     for batch in batches:
         ids = batch.column(0)
@@ -83,7 +96,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(c)
             n = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(n)
-            bands, sigs = [[]] * len(sets), [b""] * len(sets)
+            bands, sigs, parity = [[]] * len(sets), [b""] * len(sets), [b""] * len(sets)
             fp = np.zeros((2, len(sets)), np.uint64)
             if len(full):
                 values = np.concatenate([sets[i] for i in full])
@@ -97,10 +110,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 short = low.astype("<u2").T.copy()
                 for j, i in enumerate(full):
                     bands[i], sigs[i] = keys[:, j].view(np.int64), short[j].tobytes()
-                fp[0, full] = np.add.reduceat(tk.mix(values), starts)
+                mixed = tk.mix(values)
+                for i, bits in zip(full, parity_bits(mixed, n[full]), strict=True):
+                    parity[i] = bits
+                fp[0, full] = np.add.reduceat(mixed, starts)
                 fp[1, full] = np.add.reduceat(tk.mix(values ^ np.uint64(0x5851F42D4C957F2D)), starts)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(c.lo, c.hi - c.lo).cast(pa.int64()), pa.array(n), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                [ids.slice(c.lo, c.hi - c.lo).cast(pa.int64()), pa.array(n), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(parity, pa.binary())],
                 schema=schema,
             )
 
@@ -154,8 +170,20 @@ def confirm_links(docs: DataFrame, pairs: DataFrame, pct: int) -> DataFrame:
     return rows.mapInArrow(_confirm(pct), "a long, b long")
 
 
-def _block_pairs(floor: float):
-    """One group is a pair of blocks of a bucket: cross-component pairs whose signatures agree.
+def _folded(parity: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Each set's count of parity bytes, and by such a count a matrix of the sets that have it or more, folded to it."""
+    wide = np.array([len(x) for x in parity])
+    out = {}
+    for w in np.unique(wide).tolist():
+        out[w] = np.zeros((len(parity), w // 8), np.uint64)
+        for i in np.flatnonzero(wide >= w):
+            out[w][i] = np.bitwise_xor.reduce(np.frombuffer(parity[i], np.uint64).reshape(-1, w // 8), axis=0)
+    return wide, out
+
+
+def _block_pairs(floor: float, pct: int):
+    """One group is a pair of blocks of a bucket: cross-component pairs whose sizes and parity bits allow a link and whose
+    signatures agree.
 
     A pair that an earlier band brings together as well is left to that band's bucket, so it comes once."""
 
@@ -163,12 +191,20 @@ def _block_pairs(floor: float):
         ids = table.column("doc_id").to_numpy()
         comp = table.column("comp").to_numpy()
         side = table.column("side").to_numpy()
+        n = table.column("n_shingles").to_numpy()
         nth = table.column("nth")[0].as_py()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
+        wide, folded = _folded(table.column("parity").to_pylist())
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         out_a, out_b = [], []
         for i in left:
             ok = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (side[i] == 0))]
+            ok = ok[100 * np.minimum(n[ok], n[i]) >= pct * np.maximum(n[ok], n[i])]
+            narrow = np.minimum(wide[ok], wide[i])
+            apart = np.zeros(len(ok), np.int64)
+            for w in np.unique(narrow).tolist():
+                apart[narrow == w] = np.bitwise_count(folded[w][ok[narrow == w]] ^ folded[w][i]).sum(axis=1)
+            ok = ok[(100 + pct) * apart <= (100 - pct) * (n[ok] + n[i])]
             if len(ok):
                 same = sig[ok] == sig[i]
                 before = same[:, : nth * ROWS].reshape(len(ok), nth, ROWS).all(axis=2).any(axis=1)
@@ -200,7 +236,7 @@ def minhash_components(docs: DataFrame, threshold_pct: int = 85) -> DataFrame:
     classes = with_group_min(full.select("doc_id", "n_shingles", "fp1", "fp2"), ["n_shingles", "fp1", "fp2"], "doc_id", "rep", by="doc_id")
     classes = materialize(classes.select("doc_id", "n_shingles", "rep"), "classes")
     copies = materialize(classes.filter("doc_id <> rep").select("doc_id").distinct(), "copies")
-    own = full.join(checked_broadcast(copies), "doc_id", "left_anti").select("doc_id", "bands", "sig")
+    own = full.join(checked_broadcast(copies), "doc_id", "left_anti").select("doc_id", "n_shingles", "bands", "sig", "parity")
 
     flat = own.select("doc_id", F.posexplode("bands").alias("nth", "band"))
     sizes = flat.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
@@ -221,15 +257,15 @@ def minhash_components(docs: DataFrame, threshold_pct: int = 85) -> DataFrame:
     # What one pivot a bucket cannot settle: buckets that still hold several components.
     labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "nth", "doc_id", "size", F.coalesce("component", "doc_id").alias("comp"))
     mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
-    rest = labelled.join(mixed, "band").join(sig, "doc_id")
+    rest = labelled.join(mixed, "band").join(own.drop("bands"), "doc_id")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rest = rest.withColumn("n", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     rest = rest.select(
-        "band", "nth", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id", "comp", "sig",
+        "band", "nth", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id", "comp", "n_shingles", "sig", "parity",
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    more = rest.groupBy("band", "i", "j").applyInArrow(_block_pairs(floor), "a long, b long")
+    more = rest.groupBy("band", "i", "j").applyInArrow(_block_pairs(floor, threshold_pct), "a long, b long")
     more = more.select(F.least("a", "b").alias("pivot"), F.greatest("a", "b").alias("doc_id")).distinct()
     more = materialize(more.join(best.select("doc_id", "pivot"), ["doc_id", "pivot"], "left_anti").join(best.select(F.col("doc_id").alias("pivot"), F.col("pivot").alias("doc_id")), ["doc_id", "pivot"], "left_anti"), "more")
     if not more.isEmpty():

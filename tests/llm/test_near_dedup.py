@@ -2,10 +2,12 @@ import math
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from helpers import SCHEMA, frame, odd_rows, words
 from pyspark.sql import functions as F
 
+from skysift.llm import minhash
 from skysift.llm.components import connected_components
 from skysift.llm.minhash import HASHES, least_estimate, minhash_components, near_dedup
 
@@ -51,6 +53,42 @@ def test_matches_brute_force(spark, pct):
     assert got == brute(rows, pct)
 
 
+def variants(n=60, seed=8):
+    """Texts of one group that mostly miss the threshold by little (0.82 by pairs), and some links among them."""
+    rng = random.Random(seed)
+    base, rows = words(rng, 300), []
+    for k in range(n):
+        w = rows[-1][1].split() if k % 6 == 5 else list(base)
+        for e, at in enumerate(rng.sample(range(5, 295, 5), 1 if k % 6 == 5 else 3)):
+            w[at] = "edit%dx%d" % (k, e)
+        rows.append((k, " ".join(w), "en", "src0", None))
+    return rows
+
+
+def test_near_misses_of_a_large_group_are_no_candidates(spark, monkeypatch):
+    rows, tried = variants(), []
+
+    def counted(docs, pairs, pct, confirm=minhash.confirm_links):
+        tried.append(pairs.count())
+        return confirm(docs, pairs, pct)
+
+    monkeypatch.setattr(minhash, "confirm_links", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_components(frame(spark, rows), 85).collect()}
+    assert got == brute(rows, 85)
+    assert sum(tried) <= 3 * len(rows)
+
+
+def test_parity_bits_bound_the_difference_of_sets_of_any_width():
+    rng = np.random.default_rng(3)
+    for n in (1, 60, 64, 500, 9000):
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.concatenate([a[n // 10 :], rng.integers(0, 2**63, n // 6 + 1, dtype=np.uint64)])
+        wide, folded = minhash._folded(minhash.parity_bits(np.concatenate([a, b]), np.array([len(a), len(b)])))
+        x, y = folded[wide.min()]
+        apart, differ = int(np.bitwise_count(x ^ y).sum()), len(np.setxor1d(a, b))
+        assert 0 < apart <= differ and (differ - apart) % 2 == 0
+
+
 @pytest.mark.parametrize("pct", [80, 85, 90, 95])
 def test_pairs_at_the_threshold_pass_the_estimate(pct):
     p = pct / 100
