@@ -67,7 +67,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _levels(lines: DataFrame) -> Column:
-    """A constant array of BUCKETS numbers: a bucket's level by its count over all lines, shifted to where keys carry it."""
+    """BUCKETS constant bytes: a bucket's level by its count over all lines. As a constant it is part of every text of the
+    plan that the driver keeps, so it has to be short."""
     bucket = F.col("t").bitwiseAND(_long(BUCKETS - 1)).cast("int")
     counts = dict(lines.select(F.explode_outer("h").alias("t")).groupBy(bucket.alias("b")).count().collect())  # BUCKETS rows at most
     hot = max(sum(counts.values()) * HOT_SHARE, 64)
@@ -75,7 +76,13 @@ def _levels(lines: DataFrame) -> Column:
     def level(c: int) -> int:
         return HOT_LEVEL if c > hot else min(HOT_LEVEL - 1, c.bit_length() * 4 + (c << 2 >> c.bit_length() - 1 & 3)) if c else 0
 
-    return F.split(F.lit(",".join(str(level(counts.get(b, 0)) << 56) for b in range(BUCKETS))), ",").cast("array<bigint>")
+    return F.lit(bytes(level(counts.get(b, 0)) for b in range(BUCKETS)))
+
+
+def _level_at(levels: Column, t: Column) -> Column:
+    """The level of a token, shifted to where keys carry it."""
+    byte = F.substring(levels, t.bitwiseAND(_long(BUCKETS - 1)).cast("int") + 1, F.lit(1))
+    return F.shiftleft(F.ascii(byte.cast("string")).cast("long"), 56)
 
 
 class _Ids:
@@ -107,7 +114,7 @@ def _index_rows(classes: DataFrame, levels: Column) -> DataFrame:
     """(key, id, n, at, mask, half) of classes(id, n, mask, half, done, h). ``at`` holds the position in the prefix, for a pair the
     second's less one, and, in its lowest bit, whether the class has stopped looking."""
     hot, p = _long(HOT_LEVEL << 56), _prefix(F.col("n"))
-    keys = F.transform("h", lambda t: F.get(levels, t.bitwiseAND(_long(BUCKETS - 1)).cast("int")).bitwiseOR(t.bitwiseAND(_long((1 << 56) - 1))))
+    keys = F.transform("h", lambda t: _level_at(levels, t).bitwiseOR(t.bitwiseAND(_long((1 << 56) - 1))))
     heads = classes.select("id", "n", "mask", "half", "done", F.slice(F.sort_array(keys), F.lit(1), F.least(p + 1, F.col("n"))).alias("head"))
     # Frequent tokens are the greatest: they stand last in a prefix, and so do their pairs.
     plain = F.least(F.size(F.filter("head", lambda t: t < hot)), p)

@@ -15,6 +15,7 @@ constant at the share of label 1.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -269,6 +270,14 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED)
     return net
 
 
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled model of all rows (toxic, at, doc_id, text), label 1 first, else in the order of ``at``."""
+    if got := [b for b in batches if b.num_rows]:
+        rows = pa.Table.from_batches(got).sort_by([("toxic", "descending"), ("at", "ascending"), ("doc_id", "ascending")])
+        net = fit(rows.column("text").to_pylist(), rows.column("toxic").to_numpy().astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net, pickle.HIGHEST_PROTOCOL)], pa.binary())], names=["model"])
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> BiGru:
     """Fit on labelled rows that are not held out: those with the smallest hashed ids of each label, within the bounds."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
@@ -279,9 +288,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_P
     sample = ranked[0].unionByName(ranked[1])
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = text.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    parts = [rows.filter(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic") for k in (1, 0)]
-    got = parts[0].unionByName(parts[1]).toArrow()
-    return fit(got.column("text").to_pylist(), got.column("toxic").to_numpy().astype(float))
+    # One task learns, so that the texts and what they need meanwhile do not stay in the driver's memory.
+    rows = rows.select("toxic", F.xxhash64("doc_id").alias("at"), "doc_id", "text").repartition(1)
+    found = rows.mapInArrow(_learn, "model binary").collect()
+    return pickle.loads(found[0].model) if found else fit([], np.zeros(0))
 
 
 def score_toxicity(docs: DataFrame, net: BiGru, threshold: float = THRESHOLD) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 from helpers import frame, odd_rows, sentence, words
 from pyspark.sql import functions as F
 
-from skysift.llm import common, spandedup
+from skysift.llm import common, linededup, spandedup
 from skysift.llm.linededup import dedup_lines
 
 
@@ -74,6 +74,13 @@ def test_lines_by_shuffle(spark, monkeypatch):
     assert got == brute_lines(rows)
 
 
+def test_plans_stay_short(spark):
+    """The driver keeps the text of every plan, several times over."""
+    lines = spark.range(linededup.BUCKETS).selectExpr("id", "5 as n", "id as mask", "id as half", "0 as done", "array(id) as h")
+    plan = linededup._index_rows(lines, linededup._levels(lines))._jdf.queryExecution().toString()
+    assert len(plan) < 10 * linededup.BUCKETS
+
+
 def test_lines_edges(spark):
     assert dedup_lines(frame(spark, [])).count() == 0
     extra = frame(spark, line_rows()[:3]).withColumns({"gone": F.lit(1), "gone_id": F.lit("k"), "id": F.lit(2), "line_no": F.lit(3), "h": F.lit(4)})

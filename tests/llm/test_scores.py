@@ -58,6 +58,17 @@ def test_toxicity_learns_from_long_texts(spark):
     assert net.constant is None and sum(got[k].predicted for k in got if k % 4 == 0) > 50
 
 
+def test_toxicity_is_learnt_in_a_task(spark, monkeypatch):
+    rows, labels = labelled(90)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+    def refused(texts, y):
+        raise AssertionError("the driver keeps what training takes")
+
+    monkeypatch.setattr(toxicity, "fit", refused)
+    assert toxicity.train_toxicity(frame(spark, rows), lab).constant is None
+
+
 def test_gradients_match_differences():
     net = toxicity.BiGru(2)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
