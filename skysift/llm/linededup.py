@@ -111,33 +111,45 @@ def _prefix(n: Column) -> Column:
 
 
 def _index_rows(classes: DataFrame, levels: Column) -> DataFrame:
-    """(key, id, n, at, mask, half) of classes(id, n, mask, half, done, h). ``at`` holds the position in the prefix, for a pair the
-    second's less one, and, in its lowest bit, whether the class has stopped looking."""
+    """(key, id, n_at, mask, half, prev) of classes(id, n, mask, half, done, h). ``n_at`` holds the size in its high half, below it
+    the position in the prefix, for a pair the second's less one, and, in its lowest bit, whether the class has stopped looking.
+    ``prev`` is the token before, for a pair the one before its second, or before its first if they are neighbours. Two classes
+    that share it also meet under an earlier key: that token's own or its pair with the first."""
     hot, p = _long(HOT_LEVEL << 56), _prefix(F.col("n"))
     keys = F.transform("h", lambda t: _level_at(levels, t).bitwiseOR(t.bitwiseAND(_long((1 << 56) - 1))))
     heads = classes.select("id", "n", "mask", "half", "done", F.slice(F.sort_array(keys), F.lit(1), F.least(p + 1, F.col("n"))).alias("head"))
     # Frequent tokens are the greatest: they stand last in a prefix, and so do their pairs.
     plain = F.least(F.size(F.filter("head", lambda t: t < hot)), p)
     often = F.slice("head", plain + 1, F.size("head") - plain)
-    pairs = F.flatten(F.transform(often, lambda o, j: F.transform(F.slice(often, F.lit(1), j), lambda t: F.struct((plain + j - 1).alias("pos"), F.xxhash64(t, o).alias("key")))))
-    single = F.transform(F.slice("head", F.lit(1), plain), lambda t, i: F.struct(i.alias("pos"), t.alias("key")))
+    before = lambda i: F.when(i > 0, F.get("head", i - 1))
+    pairs = F.flatten(F.transform(often, lambda o, j: F.transform(F.slice(often, F.lit(1), j), lambda t, i: F.struct((plain + j - 1).alias("pos"), F.xxhash64(t, o).alias("key"), before(plain + F.when(i == j - 1, i).otherwise(j)).alias("prev")))))
+    single = F.transform(F.slice("head", F.lit(1), plain), lambda t, i: F.struct(i.alias("pos"), t.alias("key"), before(i).alias("prev")))
     found = F.when(F.get("head", p - 1) < hot, single).otherwise(F.concat(single, pairs))
     rows = heads.select("id", "n", "mask", "half", "done", F.inline_outer(found))
-    at = F.col("pos") * 2 + F.col("done")
-    return rows.select("key", "id", "n", at.alias("at"), "mask", "half")
+    n_at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("pos") * 2 + F.col("done")).cast("long"))
+    return rows.select("key", "id", n_at.alias("n_at"), "mask", "half", "prev")
+
+
+def _meeting() -> Column:
+    """What joins index rows a, of the later class, and b: their key, unless the classes also meet under an earlier one."""
+    stopped = lambda x: F.col(f"{x}.n_at").bitwiseAND(_long(1))
+    # One exchange serves both sides: what tells them apart is in the condition, which names the same columns of both.
+    later = (F.col("a.id") - F.col("b.id")) * (1 - stopped("a")) > F.shiftright(stopped("b"), 1)
+    first = ~F.coalesce(F.col("a.prev") == F.col("b.prev"), F.lit(False))
+    return (F.col("a.key") == F.col("b.key")) & later & first & _possible(True)
 
 
 def _possible(positions: bool) -> Column:
     """Of rows a and b: length filter, difference of the sets by their parity bits and, with ``positions``, the positional
     filter: what a row stands for, one token or two, is taken as the first that the two share."""
-    na, nb = F.col("a.n"), F.col("b.n")
+    na, nb = (F.shiftright(F.col(f"{x}.n_at"), 32).cast("int") if positions else F.col(f"{x}.n") for x in "ab")
     need = F.ceil((na + nb) * F.lit(8) / F.lit(18))  # 10 x >= 8 (na + nb - x)
     all_, half = (F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}")) for x in ("mask", "half"))
     apart = F.when((na > WIDE) & (nb > WIDE), F.bit_count(half) + F.bit_count(all_.bitwiseXOR(half))).otherwise(F.bit_count(all_))
     fits = (10 * na >= 8 * nb) & (10 * nb >= 8 * na) & (apart <= na + nb - 2 * need)
     if not positions:
         return fits
-    pa, pb = (F.shiftright(F.col(f"{x}.at"), 1) for x in "ab")
+    pa, pb = (F.shiftright(F.col(f"{x}.n_at").bitwiseAND(_long((1 << 32) - 1)).cast("int"), 1) for x in "ab")
     return fits & (1 + F.least(na - 1 - pa, nb - 1 - pb) >= need)
 
 
@@ -181,9 +193,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     done = classes.join(checked_broadcast(near.withColumn("done", F.lit(1))), "id", "left").withColumn("done", F.coalesce("done", F.lit(0)))
     rows = _index_rows(done, _levels(lines))
-    # One exchange serves both sides: what tells them apart is in the condition, which names the same columns of both.
-    later = (F.col("a.id") - F.col("b.id")) * (1 - F.col("a.at").bitwiseAND(F.lit(1))) > F.shiftright(F.col("b.at").bitwiseAND(F.lit(1)), 1)
-    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & later & _possible(True)).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))
+    pairs = rows.alias("a").join(rows.alias("b"), _meeting()).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))
     near = near.unionByName(_verified(lines, materialize(pairs.distinct(), "pairs")).select("id"))
     return lines.select("id").join(firsts.join(near, "id", "left_anti"), "id", "left_anti").select(*ids.unpack())
 

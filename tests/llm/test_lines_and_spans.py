@@ -74,6 +74,23 @@ def test_lines_by_shuffle(spark, monkeypatch):
     assert got == brute_lines(rows)
 
 
+def test_pairs_of_a_large_group_meet_about_once(spark):
+    rng = random.Random(12)
+    base, rows = words(rng, 24), []
+    for k in range(150):
+        w = list(base)
+        for e in range(rng.choice([1, 1, 2])):
+            w[rng.randrange(len(w))] = "edit%dx%d" % (k, e)
+        rows.append((k, " ".join(w[: rng.choice([22, 23, 24])]), "en", "src0", None))
+    lines = linededup._lines(frame(spark, rows).select("doc_id", "text")).dropDuplicates(["h"]).withColumns({"id": F.col("doc_id"), "done": F.lit(0)})
+    index = linededup._index_rows(lines, linededup._levels(lines)).localCheckpoint()
+    pairs = [(r.id, r.other) for r in index.alias("a").join(index.alias("b"), linededup._meeting()).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).collect()]
+    sets = {r.id: set(r.h) for r in lines.collect()}
+    links = {(a, b) for a in sets for b in sets if b < a and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    assert len(links) > 3000 and links <= set(pairs)
+    assert len(pairs) <= 1.2 * len(set(pairs))
+
+
 def test_plans_stay_short(spark):
     """The driver keeps the text of every plan, several times over."""
     lines = spark.range(linededup.BUCKETS).selectExpr("id", "5 as n", "id as mask", "id as half", "0 as done", "array(id) as h")
