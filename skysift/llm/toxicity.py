@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -212,8 +213,8 @@ class BiGru:
             return np.where(np.isneginf(x), EMPTY_SCORE, 1 / (1 + np.exp(-np.clip(x, -60, 60))))
 
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> BiGru:
-    """Adam on each document's highest window; embeddings by Adagrad on the rows touched."""
+def fit(texts: pa.ChunkedArray, y: np.ndarray, place: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> BiGru:
+    """Adam on each document's highest window; embeddings by Adagrad on the rows touched. ``y[i]`` is the label of ``texts[place[i]]``."""
     net = BiGru(seed)
     if not len(y) or y.min() == y.max():
         net.constant = float(y.mean()) if len(y) else 0.0
@@ -232,7 +233,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED)
         rate = 0.01 * (1 - 0.9 * epoch / epochs)
         for a in range(0, len(order), per):
             docs = order[a : a + per]
-            chunk = next(tk.chunks(pa.array([texts[i] for i in docs], pa.string()), 1 << 30))
+            chunk = next(tk.chunks(texts.take(pa.array(place[docs])).combine_chunks(), 1 << 30))
             w = read_words(chunk)
             row, first, length = windows(w.counts)
             if not len(row):
@@ -273,8 +274,11 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED)
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pickled model of all rows (toxic, at, doc_id, text), label 1 first, else in the order of ``at``."""
     if got := [b for b in batches if b.num_rows]:
-        rows = pa.Table.from_batches(got).sort_by([("toxic", "descending"), ("at", "ascending"), ("doc_id", "ascending")])
-        net = fit(rows.column("text").to_pylist(), rows.column("toxic").to_numpy().astype(float))
+        rows = pa.Table.from_batches(got)
+        # The texts stay where they are, as the one copy of the sample.
+        order = pc.sort_indices(rows, [("toxic", "descending"), ("at", "ascending"), ("doc_id", "ascending")]).to_numpy()
+        net = fit(rows.column("text"), rows.column("toxic").to_numpy().astype(float)[order], order)
+        del got, rows
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net, pickle.HIGHEST_PROTOCOL)], pa.binary())], names=["model"])
 
 
@@ -291,7 +295,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_P
     # One task learns, so that the texts and what they need meanwhile do not stay in the driver's memory.
     rows = rows.select("toxic", F.xxhash64("doc_id").alias("at"), "doc_id", "text").repartition(1)
     found = rows.mapInArrow(_learn, "model binary").collect()
-    return pickle.loads(found[0].model) if found else fit([], np.zeros(0))
+    return pickle.loads(found[0].model) if found else fit(pa.chunked_array([], pa.string()), np.zeros(0), np.zeros(0, np.int64))
 
 
 def score_toxicity(docs: DataFrame, net: BiGru, threshold: float = THRESHOLD) -> DataFrame:
