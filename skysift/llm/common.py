@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,28 @@ def materialize(df: DataFrame, name: str, **options: str | int) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_unused(spark: SparkSession) -> bool:
+    """Give the driver's garbage and its free native memory back to the system; false if its JVM cannot do the latter.
+
+    A JVM that plans hundreds of queries keeps what its compilers and threads have allocated and freed, and a heap as large as the
+    last stage's: this adds up over stages, whatever they hold."""
+    jvm = getattr(spark, "_jvm", None)
+    gc.collect()
+    if jvm is None:
+        return False
+    jvm.System.gc()
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # Its class is hidden, so the method is taken from the interface.
+        methods = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods()
+        values = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        next(m for m in methods if m.getName() == "invoke").invoke(server, values)
+    except Py4JError:  # a JVM without this command
+        return False
+    return True
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores behind it as keep it from clashing with a column."""
     used, out = {c.lower() for c in taken}, []

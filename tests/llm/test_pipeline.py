@@ -1,6 +1,8 @@
 import random
 
-from helpers import SCHEMA, odd_rows, sentence, words
+from helpers import SCHEMA, frame, odd_rows, sentence, words
+
+from skysift.llm.common import release_unused
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -30,3 +32,20 @@ def test_stages_take_effect(spark, tmp_path):
     assert [c[0] for c in counts] == ["toxicity", "line_dedup", "minhash", "mixing", "packing"]
     assert counts[0][2] < counts[0][1] and counts[1][2] == counts[1][1] and counts[2][2] <= counts[2][1]
     assert cp.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_every_stage_starts_with_memory_released(spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    calls = []
+    monkeypatch.setattr(cp, "release_unused", lambda s: calls.append(s))
+    docs = frame(spark, odd_rows()[:4])
+    for _, stage in cp.STAGES[3:]:
+        stage(spark, docs, "")
+    assert calls == [spark] * 2
+    assert all(hasattr(stage, "__wrapped__") for _, stage in cp.STAGES)
+
+
+def test_the_driver_gives_native_memory_back(spark):
+    assert release_unused(spark)
+    assert not release_unused(object())  # a session without a JVM of its own
