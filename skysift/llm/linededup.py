@@ -25,6 +25,7 @@ a large group of variants does not make all its pairs. What passes is verified o
 from __future__ import annotations
 
 from functools import reduce
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,23 +53,25 @@ def _long(x: int) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, n, s1, s2, mask, half, h) of each line: its distinct token hashes in order, two hashes of these, and
-    for each of 64 places the parity of how many tokens fall there; ``half`` counts half of the tokens of a long line."""
+    for each of 64 places the parity of how many tokens fall there; ``half`` counts only the long words of a long line."""
     odd = reduce(lambda a, b: a | b, [F.col("text").contains(x) for x in "\t\r\x0b\x0c"])
     flat = docs.select("doc_id", F.lower(F.when(odd, F.translate("text", "\t\r\x0b\x0c", "    ")).otherwise(F.col("text"))).alias("text"))
     lines = flat.select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
     # Long words, which are rarer, get negative numbers, so that they stand first.
     token = lambda w: F.when(F.length(w) >= LONG, F.xxhash64(w).bitwiseOR(_long(-1 << 63))).otherwise(F.xxhash64(w).bitwiseAND(_long((1 << 63) - 1)))
-    hashes = F.array_remove(F.transform(F.split("line", " "), token), token(F.lit("")))
-    lines = lines.select("doc_id", "line_no", F.sort_array(F.array_distinct(hashes)).alias("h"))
-    flip = F.aggregate("h", _long(0), lambda m, t: m.bitwiseXOR(F.call_function("shiftleft", _long(1), t.bitwiseAND(_long(63)).cast("int"))))
-    half = F.aggregate("h", _long(0), lambda m, t: m.bitwiseXOR(F.call_function("shiftleft", F.shiftright(t, 6).bitwiseAND(_long(1)), t.bitwiseAND(_long(63)).cast("int"))))
-    half = F.when(F.size("h") > WIDE, half).otherwise(_long(0))
-    return lines.select("doc_id", "line_no", F.size("h").alias("n"), F.xxhash64("h").alias("s1"), F.hash("h").alias("s2"), flip.alias("mask"), half.alias("half"), "h")
+    hashes = F.array_except(F.transform(F.split("line", " "), token), F.array(token(F.lit(""))))  # distinct ones
+    lines = lines.select("doc_id", "line_no", F.sort_array(hashes).alias("h"))
+    flip = lambda h: F.aggregate(h, _long(0), lambda m, t: m.bitwiseXOR(F.call_function("shiftleft", _long(1), t.bitwiseAND(_long(63)).cast("int"))))
+    # The long words of a long line and its other words are gone through once each.
+    lines = lines.withColumn("cut", F.when(F.size("h") > WIDE, F.size(F.filter("h", lambda t: t < 0))).otherwise(0))
+    lines = lines.withColumn("half", F.when(F.col("cut") > 0, flip(F.slice("h", F.lit(1), F.col("cut")))).otherwise(_long(0)))
+    rest = flip(F.when(F.col("cut") > 0, F.slice("h", F.col("cut") + 1, F.size("h"))).otherwise(F.col("h")))
+    return lines.select("doc_id", "line_no", F.size("h").alias("n"), F.xxhash64("h").alias("s1"), F.hash("h").alias("s2"), rest.bitwiseXOR(F.col("half")).alias("mask"), "half", "h")
 
 
 def _levels(lines: DataFrame) -> Column:
-    """BUCKETS constant bytes: a bucket's level by its count over all lines. As a constant it is part of every text of the
-    plan that the driver keeps, so it has to be short."""
+    """BUCKETS constant bytes: a bucket's level by its count over all lines, as the byte that ``_level_at`` reads as this level.
+    As a constant it is part of every text of the plan that the driver keeps, so it has to be short."""
     bucket = F.col("t").bitwiseAND(_long(BUCKETS - 1)).cast("int")
     counts = dict(lines.select(F.explode_outer("h").alias("t")).groupBy(bucket.alias("b")).count().collect())  # BUCKETS rows at most
     hot = max(sum(counts.values()) * HOT_SHARE, 64)
@@ -76,13 +79,15 @@ def _levels(lines: DataFrame) -> Column:
     def level(c: int) -> int:
         return HOT_LEVEL if c > hot else min(HOT_LEVEL - 1, c.bit_length() * 4 + (c << 2 >> c.bit_length() - 1 & 3)) if c else 0
 
-    return F.lit(bytes(level(counts.get(b, 0)) for b in range(BUCKETS)))
+    # The first seven bits of the CRC of one byte take every value, each for two bytes.
+    byte = {crc32(bytes([x])) >> 25: x for x in range(256)}
+    return F.lit(bytes(byte[level(counts.get(b, 0))] for b in range(BUCKETS)))
 
 
 def _level_at(levels: Column, t: Column) -> Column:
-    """The level of a token, shifted to where keys carry it."""
+    """The level of a token, shifted to where keys carry it. A CRC is the cheapest number to be had from a byte."""
     byte = F.substring(levels, t.bitwiseAND(_long(BUCKETS - 1)).cast("int") + 1, F.lit(1))
-    return F.shiftleft(F.ascii(byte.cast("string")).cast("long"), 56)
+    return F.shiftleft(F.crc32(byte), 31).bitwiseAND(_long(127 << 56))
 
 
 class _Ids:
@@ -116,18 +121,25 @@ def _index_rows(classes: DataFrame, levels: Column) -> DataFrame:
     ``prev`` is the token before, for a pair the one before its second, or before its first if they are neighbours. Two classes
     that share it also meet under an earlier key: that token's own or its pair with the first."""
     hot, p = _long(HOT_LEVEL << 56), _prefix(F.col("n"))
-    keys = F.transform("h", lambda t: _level_at(levels, t).bitwiseOR(t.bitwiseAND(_long((1 << 56) - 1))))
+    # Written arrays count as such that may hold nulls, which are sorted as objects; these hold none.
+    keys = F.transform("h", lambda t: F.coalesce(_level_at(levels, t).bitwiseOR(t.bitwiseAND(_long((1 << 56) - 1))), _long(0)))
     heads = classes.select("id", "n", "mask", "half", "done", F.slice(F.sort_array(keys), F.lit(1), F.least(p + 1, F.col("n"))).alias("head"))
-    # Frequent tokens are the greatest: they stand last in a prefix, and so do their pairs.
+    # Frequent tokens are the greatest: they stand last in a prefix, and so do their pairs. A row's place is that of its token, for
+    # a pair that of the second, with that of the first and one in the high half. Only places are made by lambdas, which are slow.
     plain = F.least(F.size(F.filter("head", lambda t: t < hot)), p)
-    often = F.slice("head", plain + 1, F.size("head") - plain)
-    before = lambda i: F.when(i > 0, F.get("head", i - 1))
-    pairs = F.flatten(F.transform(often, lambda o, j: F.transform(F.slice(often, F.lit(1), j), lambda t, i: F.struct((plain + j - 1).alias("pos"), F.xxhash64(t, o).alias("key"), before(plain + F.when(i == j - 1, i).otherwise(j)).alias("prev")))))
-    single = F.transform(F.slice("head", F.lit(1), plain), lambda t, i: F.struct(i.alias("pos"), t.alias("key"), before(i).alias("prev")))
-    found = F.when(F.get("head", p - 1) < hot, single).otherwise(F.concat(single, pairs))
-    rows = heads.select("id", "n", "mask", "half", "done", F.inline_outer(found))
-    n_at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("pos") * 2 + F.col("done")).cast("long"))
-    return rows.select("key", "id", n_at.alias("n_at"), "mask", "half", "prev")
+    single = F.when(plain > 0, F.sequence(_long(0), plain.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+    seconds = F.sequence(plain.cast("long") + 1, F.size("head").cast("long") - 1)
+    pairs = F.flatten(F.transform(seconds, lambda j: F.transform(F.sequence(plain.cast("long"), j - 1), lambda i: F.shiftleft(i + 1, 32).bitwiseOR(j))))
+    paired = (F.get("head", p - 1) >= hot) & (F.size("head") > plain + 1)
+    places = heads.withColumn("at", F.when(paired, F.concat(single, pairs)).otherwise(single))
+    first, at = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(_long((1 << 32) - 1)).cast("int")
+    rows = places.select("id", "n", "mask", "half", "done", "head", F.explode_outer("at").alias("at"))
+    key = F.when(first == 0, F.get("head", at)).otherwise(F.xxhash64(F.get("head", first - 1), F.get("head", at)))
+    pos = at - F.when(first == 0, 0).otherwise(1)
+    prev = F.get("head", at - F.when(first == at, 2).otherwise(1))
+    n_at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((pos * 2 + F.col("done")).cast("long"))
+    known = lambda c: F.coalesce(c, _long(0)).alias(c)
+    return rows.select(key.alias("key"), "id", F.coalesce(n_at, _long(0)).alias("n_at"), known("mask"), known("half"), prev.alias("prev"))
 
 
 def _meeting() -> Column:
@@ -136,27 +148,33 @@ def _meeting() -> Column:
     # One exchange serves both sides: what tells them apart is in the condition, which names the same columns of both.
     later = (F.col("a.id") - F.col("b.id")) * (1 - stopped("a")) > F.shiftright(stopped("b"), 1)
     first = ~F.coalesce(F.col("a.prev") == F.col("b.prev"), F.lit(False))
-    return (F.col("a.key") == F.col("b.key")) & later & first & _possible(True)
+    # Nearly all that share a key fail by their parity bits, half of them by their order: what is most foreseeable stands first.
+    return (F.col("a.key") == F.col("b.key")) & _possible(True) & later & first
 
 
 def _possible(positions: bool) -> Column:
     """Of rows a and b: length filter, difference of the sets by their parity bits and, with ``positions``, the positional
     filter: what a row stands for, one token or two, is taken as the first that the two share."""
     na, nb = (F.shiftright(F.col(f"{x}.n_at"), 32).cast("int") if positions else F.col(f"{x}.n") for x in "ab")
-    need = F.ceil((na + nb) * F.lit(8) / F.lit(18))  # 10 x >= 8 (na + nb - x)
+    # 10 x >= 8 (na + nb - x) means 9 x >= 4 (na + nb); then the sets differ in na + nb - 2 x places, at most a ninth of na + nb.
     all_, half = (F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}")) for x in ("mask", "half"))
     apart = F.when((na > WIDE) & (nb > WIDE), F.bit_count(half) + F.bit_count(all_.bitwiseXOR(half))).otherwise(F.bit_count(all_))
-    fits = (10 * na >= 8 * nb) & (10 * nb >= 8 * na) & (apart <= na + nb - 2 * need)
+    fits = (9 * F.bit_count(all_) <= na + nb) & (9 * apart <= na + nb) & (10 * na >= 8 * nb) & (10 * nb >= 8 * na)
     if not positions:
         return fits
     pa, pb = (F.shiftright(F.col(f"{x}.n_at").bitwiseAND(_long((1 << 32) - 1)).cast("int"), 1) for x in "ab")
-    return fits & (1 + F.least(na - 1 - pa, nb - 1 - pb) >= need)
+    return fits & (9 * F.least(na - pa, nb - pb) >= 4 * (na + nb))
 
 
-def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of a written table pairs(id, other), those whose full sets reach the threshold."""
+def _sets(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The lines that a written table pairs(id, other) names."""
     need = materialize(pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct(), "need")
-    sets = materialize(lines.select("id", "h").join(checked_broadcast(need), "id", "left_semi"), "sets")
+    return materialize(lines.select("id", "n", "mask", "half", "h").join(checked_broadcast(need), "id", "left_semi"), "sets")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs(id, other), those whose full sets reach the threshold."""
+    sets = sets.select("id", "h")
     both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("h").alias("o")), "other")
     common = F.size(F.array_intersect("h", "o"))
     return both.filter(10 * common >= 8 * (F.size("h") + F.size("o") - common)).select("id", "other")
@@ -169,24 +187,28 @@ def _by_leads(lines: DataFrame, classes: DataFrame) -> DataFrame:
     pair = lambda k: F.xxhash64(F.get("h", F.lit(k)), F.get("h", F.lit(k + 1)))
     rows = classes.select("id", "n", "mask", "half", F.explode_outer(F.array(*[pair(k) for k in range(LEADS)])).alias("key"))
     leads = rows.groupBy("key").agg(F.min("id").alias("id"), F.min_by("n", "id").alias("n"), F.min_by("mask", "id").alias("mask"), F.min_by("half", "id").alias("half"), F.count("*").alias("rows")).filter("rows > 1")
-    led = materialize(_verified(lines, materialize(rows.alias("a").join(leads.alias("b"), same).select(*ends).distinct(), "led")), "near")
+    met = materialize(rows.alias("a").join(leads.alias("b"), same).select(*ends).distinct(), "led")
+    sets = _sets(lines, met)
+    led = materialize(_verified(sets, met), "near")
     near = led.select("id").distinct()
 
     many = materialize(led.groupBy(F.col("other").alias("id")).count().filter(F.col("count") >= MANY).select("id"), "many")
     tokens = F.explode_outer(F.slice("h", 1, FEW)).alias("key")
-    big = materialize(classes.join(checked_broadcast(many), "id", "left_semi").select("id", "n", "mask", "half", tokens), "big")
+    big = materialize(sets.join(checked_broadcast(many), "id", "left_semi").select("id", "n", "mask", "half", tokens), "big")
     left = classes.join(checked_broadcast(materialize(near, "led")), "id", "left_anti").select("id", "n", "mask", "half", tokens)
     met = materialize(left.alias("a").join(checked_broadcast(big).alias("b"), same).select(*ends).distinct(), "met")
-    return near.unionByName(_verified(lines, met).select("id").distinct())
+    return near.unionByName(_verified(_sets(lines, met), met).select("id").distinct())
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, line_no) of the lines to remove."""
-    lines = materialize(_lines(docs), "lines", **{"parquet.dictionary.page.size": 16 << 20})
+    random = {f"parquet.enable.dictionary#{c}": "false" for c in ("s1", "s2", "mask", "half")}
+    lines = materialize(_lines(docs), "lines", **{"parquet.dictionary.page.size": 16 << 20}, **random)
     ids = _Ids(*lines.agg(F.min("doc_id"), F.max("doc_id"), F.max("line_no")).first())
     lines = lines.filter("n > 0").select(ids.pack().alias("id"), "n", "s1", "s2", "mask", "half", "h")
-    firsts = materialize(lines.groupBy("n", "s1", "s2").agg(F.min("id").alias("id")).select("id"), "firsts")
-    copies = materialize(lines.select("id").join(firsts, "id", "left_anti").distinct(), "copies")
+    same = ["n", "s1", "s2"]
+    groups = lines.groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    copies = materialize(lines.select("id", *same).join(checked_broadcast(materialize(groups, "groups")), same).filter("id > first").select("id").distinct(), "copies")
     # Sets of up to three tokens are similar to equal sets only.
     classes = lines.filter("n >= 4").join(checked_broadcast(copies), "id", "left_anti")
     near = materialize(_by_leads(lines, classes).distinct(), "near")
@@ -194,8 +216,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     done = classes.join(checked_broadcast(near.withColumn("done", F.lit(1))), "id", "left").withColumn("done", F.coalesce("done", F.lit(0)))
     rows = _index_rows(done, _levels(lines))
     pairs = rows.alias("a").join(rows.alias("b"), _meeting()).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))
-    near = near.unionByName(_verified(lines, materialize(pairs.distinct(), "pairs")).select("id"))
-    return lines.select("id").join(firsts.join(near, "id", "left_anti"), "id", "left_anti").select(*ids.unpack())
+    pairs = materialize(pairs.distinct(), "pairs")
+    near = near.unionByName(_verified(_sets(lines, pairs), pairs).select("id"))
+    return copies.unionByName(near).distinct().select(*ids.unpack())
 
 
 def dedup_lines(docs: DataFrame, text_out: str = "text", counts: bool = False) -> DataFrame:
@@ -208,7 +231,7 @@ def dedup_lines(docs: DataFrame, text_out: str = "text", counts: bool = False) -
     kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(list_, i))
     new = {text_out: F.when(F.col(list_).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))}
     if counts:
-        feeds = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+        feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
         new["n_lines"] = F.when(text.isNull(), 0).otherwise(feeds + 1).cast("long")
         new["n_removed"] = F.when(F.col(list_).isNull(), 0).otherwise(F.size(list_)).cast("long")
     return rows.withColumns(new).drop(of, list_)

@@ -98,6 +98,27 @@ def test_plans_stay_short(spark):
     assert len(plan) < 10 * linededup.BUCKETS
 
 
+def test_index_rows_run_in_compiled_code(spark):
+    """Twenty million rows a GB: neither lambdas beside the generator nor a sort of boxed numbers."""
+    docs = frame(spark, [(k, "one two three w%d w%d" % (k, k + 1), None, None, 1) for k in range(9)]).select("doc_id", "text")
+    lines = common.materialize(linededup._lines(docs), "lines").withColumns({"id": F.col("doc_id"), "done": F.lit(0)})
+    index = linededup._index_rows(lines, linededup._levels(lines))
+    plan = index._jdf.queryExecution().executedPlan().toString().splitlines()
+    generators = [x.split("Generate")[0] for x in plan if "Generate" in x]
+    assert generators and all("*(" in x for x in generators)
+    places = [x for x in index._jdf.queryExecution().optimizedPlan().toString().splitlines() if "sort_array" in x]
+    assert places and all("sort_array(transform(h" in x and "coalesce(" in x for x in places)
+
+
+def test_levels_follow_counts(spark):
+    """1 to 900 rows of a token: levels never fall, and that of the most frequent is the one of paired tokens."""
+    tokens = [1, 2, 4, 9, 30, 900]
+    lines = spark.createDataFrame([([k],) for k, c in enumerate(tokens) for _ in range(c)], "h array<bigint>")
+    at = linededup._level_at(linededup._levels(lines), F.col("t"))
+    got = [r.x >> 56 for r in spark.createDataFrame([(k,) for k in range(7)], "t bigint").coalesce(1).select(at.alias("x")).collect()]
+    assert got[:6] == [4, 8, 12, 16, 23, linededup.HOT_LEVEL] and got[6] == 0
+
+
 def test_lines_edges(spark):
     assert dedup_lines(frame(spark, [])).count() == 0
     extra = frame(spark, line_rows()[:3]).withColumns({"gone": F.lit(1), "gone_id": F.lit("k"), "id": F.lit(2), "line_no": F.lit(3), "h": F.lit(4)})
