@@ -10,7 +10,7 @@ Null ids come through unchanged. An empty table gives an empty result. Extra col
 with ``counts``, columns named n_lines and n_removed are replaced.
 
 Method. Each line is parsed once: its sorted token hashes (63 bits and one for long words) are written, and all further steps read them. Lines of
-equal sets are one class, kept by its first line. Tokens are ordered by rarity: by their count over all lines in 32,768
+equal sets are one class, kept by its first line; copies are found by a join with the sets that repeat. Tokens are ordered by rarity: by their count over all lines in 32,768
 hashed buckets, on a scale of a quarter octave, then by hash; the table is of fixed size, and any total order is valid for
 prefix filters. A class puts its first n - ceil(0.8 n) + 1 tokens (its prefix) into an index; tokens of very frequent buckets stand
 last in it and go by pairs of two such tokens of the prefix that is one longer: similar sets share two tokens there, and if
@@ -206,9 +206,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = materialize(_lines(docs), "lines", **{"parquet.dictionary.page.size": 16 << 20}, **random)
     ids = _Ids(*lines.agg(F.min("doc_id"), F.max("doc_id"), F.max("line_no")).first())
     lines = lines.filter("n > 0").select(ids.pack().alias("id"), "n", "s1", "s2", "mask", "half", "h")
-    same = ["n", "s1", "s2"]
-    groups = lines.groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
-    copies = materialize(lines.select("id", *same).join(checked_broadcast(materialize(groups, "groups")), same).filter("id > first").select("id").distinct(), "copies")
+    groups = lines.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    groups = checked_broadcast(materialize(groups, "groups"))
+    # One long as the key makes a far smaller table to broadcast than three columns; the others are in the condition.
+    equal = (F.col("a.s1") == F.col("b.s1")) & (F.col("a.s2").bitwiseXOR(F.col("b.s2")).bitwiseOR(F.col("a.n").bitwiseXOR(F.col("b.n"))) == 0)
+    copies = lines.select("id", "n", "s1", "s2").alias("a").join(groups.alias("b"), equal & (F.col("a.id") > F.col("b.id")))
+    copies = materialize(copies.select("a.id").distinct(), "copies")
     # Sets of up to three tokens are similar to equal sets only.
     classes = lines.filter("n >= 4").join(checked_broadcast(copies), "id", "left_anti")
     near = materialize(_by_leads(lines, classes).distinct(), "near")
