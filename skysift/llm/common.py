@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,15 +32,36 @@ def materialize(df: DataFrame, name: str, **options: str | int) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as they are; the worker's garbage and free native memory go back to the system first."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
+    yield from batches
+
+
+def release_executors(spark: SparkSession) -> int:
+    """The same for the executors: one task a core lets its Python worker give back, then collects its JVM; their number.
+
+    A full collection is what makes a heap smaller, and what unloads the classes of earlier plans. With all cores free, as between
+    stages, each executor gets a task; one that gets none just keeps what it has."""
+    tasks = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, tasks, 1, tasks).mapInArrow(_give_back, "id long")
+    return len(rows.selectExpr("java_method('java.lang.System', 'gc') as done").collect())
+
+
 def release_unused(spark: SparkSession) -> bool:
-    """Give the driver's garbage and its free native memory back to the system; false if its JVM cannot do the latter.
+    """Give the garbage and free native memory of executors and driver back to the system; false if the driver's JVM cannot do the latter.
 
     A JVM that plans hundreds of queries keeps what its compilers and threads have allocated and freed, and a heap as large as the
-    last stage's: this adds up over stages, whatever they hold."""
+    last stage's: this adds up over stages, whatever they hold. So do an executor's JVM and its Python workers."""
     jvm = getattr(spark, "_jvm", None)
     gc.collect()
     if jvm is None:
         return False
+    release_executors(spark)
     jvm.System.gc()
     try:
         server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()

@@ -1,8 +1,9 @@
 import random
 
+import pyarrow as pa
 from helpers import SCHEMA, frame, odd_rows, sentence, words
 
-from skysift.llm.common import release_unused
+from skysift.llm.common import _give_back, release_executors, release_unused
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -49,3 +50,26 @@ def test_every_stage_starts_with_memory_released(spark, monkeypatch):
 def test_the_driver_gives_native_memory_back(spark):
     assert release_unused(spark)
     assert not release_unused(object())  # a session without a JVM of its own
+
+
+def test_a_release_reaches_the_executors(spark):
+    sc = spark.sparkContext
+    beans = list(spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    collected = lambda: sum(b.getCollectionCount() for b in beans)
+    sc.setJobGroup("release", "")
+    try:
+        assert release_unused(spark)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    (job,) = sc.statusTracker().getJobIdsForGroup("release")
+    stages = [sc.statusTracker().getStageInfo(k) for k in sc.statusTracker().getJobInfo(job).stageIds]
+    assert sum(x.numTasks for x in stages) == sc.defaultParallelism
+    # In a local session the only executor is the driver's JVM.
+    before = collected()
+    assert release_executors(spark) == sc.defaultParallelism
+    assert collected() > before
+
+
+def test_a_worker_gives_back_and_keeps_its_rows():
+    rows = [pa.RecordBatch.from_pydict({"id": [1, 2]}), pa.RecordBatch.from_pydict({"id": []}, pa.schema([("id", pa.int64())]))]
+    assert list(_give_back(iter(rows))) == rows
