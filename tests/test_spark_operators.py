@@ -147,6 +147,22 @@ def test_pixel_explode_cuts_nothing(spark, tmp_path):
         catalog.pixel_explode(spark, str(tmp_path / "long")).collect()
 
 
+def test_pixel_explode_rounds_as_its_sql(spark, tmp_path):
+    import duckdb
+    import numpy as np
+
+    from skysift.plans import catalog
+
+    near = np.nextafter(np.arange(-32, 32, dtype="float32") / 1000 + np.float32(0.0005), np.float32(-1), dtype="float32")
+    for kind in ("float", "double"):
+        path = str(tmp_path / kind / "embeddings.parquet")
+        spark.createDataFrame([(1, [float(v) for v in near])], f"vec_id long, embedding array<{kind}>").write.parquet(path)
+        got = sorted(map(tuple, catalog.pixel_explode(spark, str(tmp_path / kind)).collect()))
+        db = duckdb.connect()
+        db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+        assert got == sorted(db.sql(catalog.ORACLES["pixel_explode"]).fetchall())
+
+
 def test_sessions_of_different_length_are_linked_apart(spark):
     def points(session, frames, step):
         return [(session, k, k, 0, k * 1000 + len(session), 10.0 + step * k, 20.0, k * 60_000, 1_000, 4.0, 2.0, 100.0, 6.0, 6.0, 0.0, False, [], False) for k in range(frames)]
