@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,26 +11,12 @@ from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize, shared_dir  # noqa: F401
+
 #: A key's rows are dealt over this many sub-keys before the key's final value is formed.
 SALTS = 64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is named, a local one serves a local session only."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return (path or "/tmp/skysift-checkpoints").rstrip("/")
-
-
-def materialize(df: DataFrame, name: str, **options: str | int) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows as they are; the worker's garbage and free native memory go back to the system first."""
     gc.collect()

@@ -1,6 +1,7 @@
 """The whole run over sessions of frames: extraction, quality, stacks, vetoes, linking, anomalies, residuals.
 
-Every stage is a DataFrame keyed by session, so sessions run side by side; what several stages read is persisted once.
+Every stage is a DataFrame keyed by session, so sessions run side by side. What later stages build upon is written once, which keeps
+the plans of later stages small; the stack and what is found on it are persisted.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from ..config import DetectionConfig
 from ..operators import background as bg
 from ..operators import drift, linking, quality, reference, residual, sources, stacks, telemetry
 from ..sources.frames import check_sizes, frame_rows, pixels
+from ..sources.tables import materialize
 
 Listener = Callable[[int, str], None]
 SESSION = ["session_id"]
@@ -40,7 +42,7 @@ class RunResult:
     held: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
-        """Give back the storage of what the run persisted."""
+        """Give back the storage of what the run persisted. Written tables stay under spark.checkpoint.dir."""
         for df in self.held:
             df.unpersist()
 
@@ -58,7 +60,7 @@ def analyze_drift(frames: DataFrame, config: DetectionConfig) -> tuple[DataFrame
     """Drift vectors of every frame, and (session_id, void_radius): the radius that they recommend for each session."""
     keys, size = ["session_id", "seq_index"], ["width", "height"]
     bounds = drift.valid_bounds(pixels(frames, *size), [*keys, *size], *size)
-    vectors = drift.drift_vectors(bounds, [*keys, *size], *size).drop(*size)
+    vectors = materialize(drift.drift_vectors(bounds, [*keys, *size], *size).drop(*size), "drift")
     return vectors, drift.void_radius(vectors, config.void_proximity_radius, ("session_id",))
 
 
@@ -68,7 +70,7 @@ def session_quality(frames: DataFrame, config: DetectionConfig) -> DataFrame:
     rows = frame_rows(frames, *own)
     found = sources.extract(rows, config.quality_sigma_multiplier, config.quality_min_detection_pixels, config.for_quality())
     back = bg.clipped_background(bg.histogram(pixels(frames), ["session_id", "seq_index"]), ["session_id", "seq_index"], config)
-    metrics = quality.frame_quality(found, back, ["session_id", "seq_index"], config).persist()
+    metrics = materialize(quality.frame_quality(found, back, ["session_id", "seq_index"], config), "metrics")
     return quality.reject_frames(metrics, quality.session_thresholds(metrics, SESSION, config), SESSION)
 
 
@@ -80,7 +82,7 @@ def _kept(frames: DataFrame, verdicts: DataFrame) -> DataFrame:
 def generate_master_stack(frames: DataFrame, config: DetectionConfig = DetectionConfig(), listener: Listener | None = None) -> DataFrame:
     """Quality, rejection, median: the stack alone, without extraction of detections or drift. All rejected: ValueError."""
     check_sizes(frames)
-    kept = _kept(frames, session_quality(frames, config)).persist()
+    kept = materialize(_kept(frames, session_quality(frames, config)), "kept")
     if kept.isEmpty():
         raise ValueError("every frame was rejected")
     _tell(listener, 100, "stacked")
@@ -102,7 +104,7 @@ class Transients:
     held: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
-        """Give back the storage of what was persisted; the DataFrames stay usable and are computed again."""
+        """Give back the storage of what was persisted; the DataFrames stay usable and are computed again. Written tables stay."""
         for df in self.held:
             df.unpersist()
 
@@ -119,16 +121,16 @@ def detect_transients(frames: DataFrame, config: DetectionConfig = DetectionConf
         held.append(df.persist())
         return df
 
-    radius = hold(radius)
+    radius = materialize(radius, "radius")
     frames = frames.join(radius, "session_id")
     _tell(listener, 10, "drift")
-    verdicts = hold(session_quality(frames, config))
-    kept = hold(_kept(frames, verdicts))
+    verdicts = materialize(session_quality(frames, config), "verdicts")
+    kept = materialize(_kept(frames, verdicts), "kept")
     if kept.isEmpty():
         raise ValueError("every frame was rejected")
     pos = kept.select("session_id", "seq_index", "frame_pos", "filename", "ts_ms", "exposure_ms")
     objects = sources.extract(frame_rows(kept, "void_radius"), config.detection_sigma_multiplier, config.min_detection_pixels, config).join(pos, ["session_id", "seq_index"])
-    objects = hold(objects.withColumn("det_id", (F.col("frame_pos").cast("long") * 10_000_000 + F.col("obj_ord"))))
+    objects = materialize(objects.withColumn("det_id", (F.col("frame_pos").cast("long") * 10_000_000 + F.col("obj_ord"))), "objects")
     _tell(listener, 40, "extracted")
     stack = hold(provided_stack if provided_stack is not None else stacks.stack_rows(frame_rows(kept), config.slow_mover_stack_middle_fraction))
     stars = hold(sources.extract(stacks.stack_frame(stack, "median").join(radius, "session_id"), config.master_sigma_multiplier, config.master_min_detection_pixels, config.for_master()))
@@ -136,7 +138,7 @@ def detect_transients(frames: DataFrame, config: DetectionConfig = DetectionConf
     spots = reference.footprint_pixels(stars, SESSION).join(size, "session_id")
     mask = hold(reference.dilated_mask(spots, [*SESSION, "width", "height"], reference.engine_radius(config.max_star_jitter), "width", "height").drop("width", "height"))
     over = reference.overlap(reference.footprint_pixels(objects, ["session_id", "det_id"]), mask, ["session_id", "det_id"], SESSION)
-    vetoed = hold(reference.veto(objects, over, ["session_id", "det_id"], config))
+    vetoed = materialize(reference.veto(objects, over, ["session_id", "det_id"], config), "vetoed")
     _tell(listener, 60, "vetoed")
     return Transients(config, verdicts, vectors, kept, objects, stack, stars, mask, vetoed, radius, held)
 
@@ -215,8 +217,7 @@ def slow_movers(t: Transients) -> DataFrame | None:
 def run_pipeline(frames: DataFrame, config: DetectionConfig = DetectionConfig(), listener: Listener | None = None, provided_stack: DataFrame | None = None, compat_frame_index: bool = False) -> RunResult:
     t = detect_transients(frames, config, listener, provided_stack)
     n = t.kept.groupBy("session_id").agg((F.max("frame_pos") + 1).alias("n_frames"))
-    linked = link(t.vetoed, n, t.config, compat_frame_index).persist()
-    t.held.append(linked)
+    linked = materialize(link(t.vetoed, n, t.config, compat_frame_index), "linked")
     _tell(listener, 90, "linked")
     alive = t.vetoed.filter(~F.col("is_purged"))
     what = lambda name: linked.filter(F.col("what") == name)

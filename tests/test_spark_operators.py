@@ -105,6 +105,15 @@ def test_pipeline_finds_the_mover_and_partitions_detections(spark):
     assert "tracks" in run.report()
 
 
+def test_plans_of_a_run_stay_small_and_outlive_its_release(spark):
+    run = pipeline.run_pipeline(session(spark, 4), CONFIG)
+    parts = [run.tracks, run.anomalies, run.unclassified, run.transients, run.residuals]
+    whole = [sorted(map(str, part.collect())) for part in parts]
+    assert [len(part._jdf.queryExecution().executedPlan().toString().splitlines()) < 100 for part in parts] == [True] * 5
+    run.release()
+    assert [sorted(map(str, part.collect())) for part in parts] == whole and any(whole)
+
+
 def test_master_stack_and_its_reuse(spark):
     frames = session(spark)
     stack = pipeline.generate_master_stack(frames, CONFIG)
