@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 
@@ -24,6 +25,51 @@ def test_no_timed_track_when_speed_changes_and_geometric_without_times():
     assert k.geometric_tracks(points(rows), 3, BASE, set(), []) == [[0, 1, 2]]
 
 
+def plain_geometric_tracks(p, frames, config, used):
+    """The same by one pair at a time."""
+    by_frame, need, cone = k.frames_of(p, frames), k.min_points(frames, config), math.radians(config.angle_tolerance_degrees)
+    free, out = np.ones(len(p), bool), []
+    free[list(used)] = False
+    for a in np.flatnonzero(p.pos < frames - 2).tolist():
+        for b in [int(b) for f in by_frame[p.pos[a] + 1 : frames - 1] for b in f]:
+            if not (free[a] and free[b] and config.max_star_jitter <= k._dist(p, a, b) <= config.max_jump_pixels and k.similar_profiles(p, a, b, config)):
+                continue
+            chain = [a, b]
+            for later in by_frame[p.pos[b] + 1 :]:
+                c, last = later[free[later]], chain[-1]
+                error = k.line_error(p.x[a], p.y[a], p.x[last], p.y[last], p.x[c], p.y[c])
+                ok = (k._dist(p, last, c) <= config.max_jump_pixels) & (error <= config.prediction_tolerance) & (k.turn(k._bearing(p, a, last), k._bearing(p, last, c)) <= cone)
+                ok &= k.similar_profiles(p, last, c, config)
+                if ok.any():
+                    chain.append(int(c[ok][np.argmin(error[ok])]))
+            kept = chain[:1]
+            for c in chain[1:] if len(chain) >= need else []:
+                kept += [c] if k._dist(p, kept[-1], c) > config.max_star_jitter else []
+            if len(kept) >= need and k.steady_rhythm(p.x[kept], p.y[kept], config):
+                out.append(kept)
+                free[kept] = False
+    return out
+
+
+def test_geometric_tracks_are_the_plain_ones_and_quicker(monkeypatch):
+    rng, tracks, seconds = np.random.default_rng(3), 0, [0.0, 0.0]
+    for case in range(24):
+        n, frames = (160, 30) if case < 4 else (int(rng.integers(0, 60)), int(rng.integers(1, 9)))
+        xy = rng.integers(0, 12, (2, n)) if case % 3 == 0 else rng.random((2, n)) * 40  # with ties, and without
+        p = k.Points.build(n, pos=np.sort(rng.integers(0, frames, n)), x=xy[0], y=xy[1], area=rng.integers(1, 9, n), fwhm=rng.integers(1, 6, n))
+        config = DetectionConfig(max_jump_pixels=[5, 40][case % 2], angle_tolerance_degrees=[5, 30, 180][case % 3], max_star_jitter=[0, 1.5][case // 2 % 2])
+        used = set(rng.choice(n, n // 8, replace=False).tolist()) if n else set()
+        monkeypatch.setattr(k, "CELLS", 1 << 20 if case < 4 else [50, 1 << 20][case % 2])
+        found = []
+        for which, run in enumerate((lambda: plain_geometric_tracks(p, frames, config, used), lambda: k.geometric_tracks(p, frames, config, used, []))):
+            began = time.process_time()
+            found.append(run())
+            seconds[which] += time.process_time() - began
+        assert found[0] == found[1]
+        tracks += len(found[0])
+    assert tracks > 20 and seconds[1] < seconds[0] / 4
+
+
 def test_accepted_timed_track_and_packing():
     p = points([(0, 10, 10), (0, 50, 50), (1, 20, 10), (2, 30, 10), (3, 40, 10)], ts=[0, 0, 1000, 2000, 3000])
     found = [(c, s, 0) for a in range(5) for c, s in k.timed_candidates(p, a, 4, BASE)]
