@@ -27,21 +27,26 @@ def _give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches
 
 
+def release_workers(spark: SparkSession) -> int:
+    """Let the executors' Python workers give back their memory: one task a core; their number. For stages that run Python anyway."""
+    tasks = spark.sparkContext.defaultParallelism
+    return spark.range(0, tasks, 1, tasks).mapInArrow(_give_back, "id long").count()
+
+
 def release_executors(spark: SparkSession) -> int:
-    """The same for the executors: one task a core lets its Python worker give back, then collects its JVM; their number.
+    """Let the executors' JVMs give back theirs: one task a core collects its JVM; their number. No Python runs there.
 
     A full collection is what makes a heap smaller, and what unloads the classes of earlier plans. With all cores free, as between
     stages, each executor gets a task; one that gets none just keeps what it has."""
     tasks = spark.sparkContext.defaultParallelism
-    rows = spark.range(0, tasks, 1, tasks).mapInArrow(_give_back, "id long")
-    return len(rows.selectExpr("java_method('java.lang.System', 'gc') as done").collect())
+    return len(spark.range(0, tasks, 1, tasks).selectExpr("java_method('java.lang.System', 'gc') as done").collect())
 
 
 def release_unused(spark: SparkSession) -> bool:
-    """Give the garbage and free native memory of executors and driver back to the system; false if the driver's JVM cannot do the latter.
+    """Give the garbage and free native memory of the executors' JVMs and the driver back to the system; false if the driver's JVM cannot do the latter.
 
     A JVM that plans hundreds of queries keeps what its compilers and threads have allocated and freed, and a heap as large as the
-    last stage's: this adds up over stages, whatever they hold. So do an executor's JVM and its Python workers."""
+    last stage's: this adds up over stages, whatever they hold. So does an executor's JVM; its Python workers: see release_workers."""
     jvm = getattr(spark, "_jvm", None)
     gc.collect()
     if jvm is None:

@@ -70,6 +70,32 @@ def test_a_release_reaches_the_executors(spark):
     assert collected() > before
 
 
+def test_stages_of_dataframe_functions_run_no_python(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as cp
+
+    def never(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    docs = frame(spark, [(k, f"line {k} of seven plain words here", "en", "src0", 1) for k in range(9)])
+    monkeypatch.setattr(type(docs), "mapInArrow", never)
+    stages = dict(cp.STAGES)
+    assert stages["line_dedup"](spark, docs, "").count() == 9 and stages["mixing"](spark, docs, "").count() <= 9
+
+
+def test_the_workers_give_back_where_python_runs(spark, monkeypatch):
+    import corpus_pipeline as cp
+    from skysift.llm.common import release_workers
+
+    calls = []
+    monkeypatch.setattr(cp, "release_unused", lambda s: calls.append("jvm"))
+    monkeypatch.setattr(cp, "release_workers", lambda s: calls.append("workers"))
+    docs = frame(spark, odd_rows()[:4])
+    for _, stage in cp.STAGES[3:]:
+        stage(spark, docs, "")
+    assert calls == ["jvm", "workers", "jvm"]
+    assert release_workers(spark) == spark.sparkContext.defaultParallelism
+
+
 def test_a_worker_gives_back_and_keeps_its_rows():
     rows = [pa.RecordBatch.from_pydict({"id": [1, 2]}), pa.RecordBatch.from_pydict({"id": []}, pa.schema([("id", pa.int64())]))]
     assert list(_give_back(iter(rows))) == rows
